@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektra.llm import confusables, sentences, term_counts
-from lektra.runtime import table
+from lektra.llm import confusables, contamination, languages, sentences, term_counts
+from lektra.runtime import cut, table
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -59,9 +59,48 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.marks(p5_term_counts(spark, d), total, table(spark, d, "missing_words_analysis"))
 
 
+def _p7(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_passages"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return _p7(spark, d).select("doc_id", "item_id").distinct()
+
+
+def p7_spans(spark: SparkSession, d: str) -> DataFrame:
+    """Where the passages stand: one row per stretch, in characters of the text."""
+    return _p7(spark, d).select("doc_id", "item_id", "words", F.explode("spans").alias("s")).select(
+        "doc_id", "item_id", "words", F.col("s.start").alias("span_start"), F.col("s.end").alias("span_end"))
+
+
+def p7_clean(spark: SparkSession, d: str) -> DataFrame:
+    """Every document with the leaked spans removed."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return contamination.removed(docs, cut(_p7(spark, d)))
+
+
+def _p9(spark: SparkSession, d: str) -> DataFrame:
+    return languages.stretches(spark, table(spark, d, "documents"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    stored = F.coalesce(F.trim("stored_lang"), F.lit(""))
+    return _p9(spark, d).where(
+        (F.col("segments") > 1) | stored.isin("", "und") | (F.col("stored_lang") != F.col("lang"))
+    ).select("doc_id", "seg_no", "lang")
+
+
+def p9_stretches(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's stretches with offsets and confidence."""
+    return _p9(spark, d).select("doc_id", "seg_no", "seg_start", "seg_end", "lang", "confidence")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_sentences, p4_found, p4_canonical, p5_term_counts, p5_found)
+    for f in (
+        p2_found, p2_sentences, p4_found, p4_canonical, p5_term_counts, p5_found,
+        p7_found, p7_spans, p7_clean, p9_found, p9_stretches,
+    )
 }
 
 _COUNTS = """
