@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lektra.llm import confusables, contamination, languages, sentences, term_counts
+from lektra.llm import alignment, confusables, contamination, languages, mixing, sentences, term_counts
 from lektra.runtime import cut, table
 
 
@@ -59,6 +59,16 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return term_counts.marks(p5_term_counts(spark, d), total, table(spark, d, "missing_words_analysis"))
 
 
+def p6_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return alignment.align(
+        table(spark, d, "text_lines"), table(spark, d, "translation_segments"),
+        table(spark, d, "translation_lookup"), table(spark, d, "dictionary_entries"))
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return p6_pairs(spark, d).drop("score")
+
+
 def _p7(spark: SparkSession, d: str) -> DataFrame:
     return contamination.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_passages"))
 
@@ -79,6 +89,24 @@ def p7_clean(spark: SparkSession, d: str) -> DataFrame:
     return contamination.removed(docs, cut(_p7(spark, d)))
 
 
+def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    targets = table(spark, d, "mix_targets")
+    docs = table(spark, d, "documents").join(
+        F.broadcast(targets.select("source").distinct()), "source", "left_semi")
+    counted = cut(mixing.count_tokens(docs.select("doc_id", "source", "text")))
+    rate = cut(mixing.rates(counted, targets))
+    return mixing.draw(counted, rate), rate
+
+
+def p8_mix(spark: SparkSession, d: str) -> DataFrame:
+    """The chosen records, one row per copy."""
+    return _p8(spark, d)[0]
+
+
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.report(*_p8(spark, d))
+
+
 def _p9(spark: SparkSession, d: str) -> DataFrame:
     return languages.stretches(spark, table(spark, d, "documents"))
 
@@ -99,7 +127,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         p2_found, p2_sentences, p4_found, p4_canonical, p5_term_counts, p5_found,
-        p7_found, p7_spans, p7_clean, p9_found, p9_stretches,
+        p6_found, p6_pairs, p8_mix, p8_shares, p7_found, p7_spans, p7_clean, p9_found, p9_stretches,
     )
 }
 
