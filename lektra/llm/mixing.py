@@ -20,7 +20,7 @@ import base64
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -60,9 +60,8 @@ def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:
     t = listed.join(have, "source", "left").fillna(0, ["documents", "tokens"])
     usable = (F.col("tokens") > 0) & (F.col("target_share") > 0) & (F.col("max_repeats") > 0)
     room = F.when(usable, F.col("max_repeats") * F.col("tokens") / F.col("target_share"))
-    total = t.agg(F.min(room).alias("total"))
-    # one row
-    return t.join(F.broadcast(total)).withColumn(
+    # the report has one row per listed source
+    return t.withColumn("total", F.min(room).over(Window.partitionBy(F.lit(1)))).withColumn(
         "rate", F.when(usable, F.least(
             F.col("target_share") * F.col("total") / F.col("tokens"), F.col("max_repeats").cast("double"))).otherwise(0.0)
     ).drop("total")
@@ -86,6 +85,6 @@ def report(drawn: DataFrame, rate: DataFrame) -> DataFrame:
     got = drawn.groupBy("source").agg(
         F.count(F.lit(1)).alias("records"), F.sum("tokens").alias("mixed_tokens"), F.max("copy_no").alias("most_copies"))
     t = rate.join(got, "source", "left").fillna(0, ["records", "mixed_tokens", "most_copies"])
-    whole = t.agg(F.sum("mixed_tokens").alias("all_tokens"))
-    return t.join(F.broadcast(whole)).withColumn(
+    whole = F.sum("mixed_tokens").over(Window.partitionBy(F.lit(1)))
+    return t.withColumn("all_tokens", whole).withColumn(
         "actual_share", F.coalesce(F.try_divide("mixed_tokens", "all_tokens"), F.lit(0.0))).drop("all_tokens")
