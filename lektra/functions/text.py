@@ -108,12 +108,13 @@ def sentences(c: Column, greek: Column) -> Column:
     return F.when(greek, F.split(c, "[.!?·;]\\s+")).otherwise(F.split(c, "[.!?]\\s+"))
 
 
-def is_editorial_noise(c: Column) -> Column:
-    """Sentences that are apparatus, not text."""
-    return (
-        (F.length(c) <= 10) | c.rlike("^[A-Z]:") | c.startswith("em.") | c.startswith("add.")
-        | c.startswith("id.") | c.contains("Nauck") | c.contains("Mullach")
+def is_editorial_noise(c: Column, least: int = 10, same: bool = True) -> Column:
+    """Sentences that are apparatus, not text (``same``: also those that begin with "id.")."""
+    out = (
+        (F.length(c) <= least) | c.rlike("^[A-Z]:") | c.startswith("em.") | c.startswith("add.")
+        | c.contains("Nauck") | c.contains("Mullach")
     )
+    return out | c.startswith("id.") if same else out
 
 
 def py_strip(c: Column) -> Column:
@@ -213,8 +214,8 @@ def display_title(title: Column, title_english: Column) -> Column:
 
 
 def beta_key(c: Column) -> Column:
-    """Dictionary keys written with ASCII marks: the marks become the accents."""
-    # Mark after a letter -> combining character.
-    for mark, accent in (("/", "́"), ("\\", "̀"), ("=", "͂"), ("(", "̔"), (")", "̓"), ("|", "ͅ")):
-        c = F.replace(c, F.lit(mark), F.lit(accent))
+    """Dictionary keys written with ASCII marks."""
+    # Mark and what it becomes.
+    for mark, sign in ((")", "῾"), ("(", "᾿"), ("/", "\u0301"), ("\\", "\u0300"), ("=", "\u0342"), ("|", "ι")):
+        c = F.replace(c, F.lit(mark), F.lit(sign))
     return c

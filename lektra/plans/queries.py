@@ -84,7 +84,7 @@ def q02_words(c: Corpus) -> DataFrame:
 @query(rf"""
 SELECT id, {_fold('line_text')} AS folded, lower(regexp_replace(strip_accents(line_text), '(\p{{L}})Σ(\P{{L}}|$)', '\1ς\2', 'g')) AS web,
   trim(regexp_replace({_fold('line_text')}, '\P{{L}}+', ' ', 'g')) AS search_line,
-  lower(regexp_replace(line_text, '[.,;:!?·]', '', 'g')) AS latin_key
+  lower(regexp_replace(regexp_replace(line_text, '[.,;:!?·]', '', 'g'), '([\p{{L}}\p{{M}}])Σ(\P{{L}}|$)', '\1ς\2', 'g')) AS latin_key
 FROM text_lines""")
 def q02_normal_forms(c: Corpus) -> DataFrame:
     """The other normal forms of each line."""
@@ -503,7 +503,8 @@ def q53_lemma_map_stats(c: Corpus) -> DataFrame:
     return reports.lemma_map_stats(c)
 
 
-PROBE = "λογοσ νομοσ ανθρωποσ πολεμοσ ψυχη λεγω εχω αγω ξενοσ θεοσ".split()
+# Words whose lemmas are looked for.
+PROBE = "μηνιν αειδε πολλασ ψυχασ εθηκε ουλομενην μαλιστα πρωτον μεντοι ορθωσ ουχ ημιν".split()
 
 
 @query(f"""SELECT p AS word_normalized, count(l.lemma) AS mappings FROM (SELECT unnest({_list(PROBE)}) AS p)
