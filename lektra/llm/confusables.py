@@ -184,8 +184,7 @@ def mapped(values: pd.Series) -> pd.Series:
 def canonical(df: DataFrame, field: str) -> DataFrame:
     """One row per distinct non-null value of ``field``: ``value``, ``canonical``."""
     spark = df.sparkSession
-    df.select(F.col(f"`{field}`").alias("value")).createOrReplaceTempView("lk_values")
-    values = spark.sql("SELECT DISTINCT value FROM lk_values WHERE value IS NOT NULL")
+    values = df.select(F.col(f"`{field}`").alias("value")).where("value IS NOT NULL").distinct()
     forms = values.select("value", mapped("value").alias("form"))
     return spark.sql(
         """
@@ -198,6 +197,8 @@ def canonical(df: DataFrame, field: str) -> DataFrame:
 
 
 def with_canonical(df: DataFrame, field: str, out: str = "canonical") -> DataFrame:
-    """Join the canonical member back to every row (null values keep null)."""
+    """Join the canonical member back to every row (null values keep null). A column of
+    that name is replaced."""
+    df = df.drop(out)
     classes = canonical(df, field).select(F.col("value").alias("__lk_value"), F.col("canonical").alias(out))
     return df.join(classes, df[field] == classes["__lk_value"], "left").drop("__lk_value")

@@ -24,14 +24,14 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lektra.llm.batches import expand
+
 SAMPLE_PER_LABEL = 400
 SAMPLE_CHARS = 20_000
 MAX_LABELS = 64
@@ -169,7 +169,7 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 2) -> Model:
             pieces.append((lang, words_of(text[a:b])))
     for lang, ws in pieces:
         counts.setdefault(lang, Counter()).update(ws)
-    model = Model(counts)
+    model = Model(counts or {"und": Counter()})
     for _ in range(rounds - 1):
         counts = {lang: Counter() for lang in model.langs}
         for lang, ws in pieces:
@@ -314,52 +314,29 @@ def _runs(path: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int, int]]:
     return [(a, b, lang) for a, b, lang, _ in runs]
 
 
-SCHEMA = T.StructType([
-    T.StructField("doc_id", T.LongType()),
-    T.StructField("seg_no", T.IntegerType()),
-    T.StructField("seg_start", T.IntegerType()),
-    T.StructField("seg_end", T.IntegerType()),
-    T.StructField("lang", T.StringType()),
-    T.StructField("confidence", T.DoubleType()),
-    T.StructField("stored_lang", T.StringType()),
-    T.StructField("segments", T.IntegerType()),
-])
-
-
-def slices(b: pd.DataFrame, text: str, chars: int = 2_000_000) -> Iterator[pd.DataFrame]:
-    """Parts of a batch of about so many characters, so that long texts take no more memory at once."""
-    size = b[text].str.len().fillna(0).cumsum() // chars
-    for _, part in b.groupby(size.to_numpy(), sort=False):
-        yield part
-
-
-def _rows(model: Model, b: pd.DataFrame) -> pd.DataFrame:
-    found = detect(model, ["" if t is None else t for t in b["text"].tolist()])
-    n = [len(f) for f in found]
-    flat = [x for f in found for x in f]
-    return pd.DataFrame({
-        "doc_id": b["doc_id"].repeat(n).to_numpy(),
-        "seg_no": [i for k in n for i in range(1, k + 1)],
-        "seg_start": [x[0] for x in flat],
-        "seg_end": [x[1] for x in flat],
-        "lang": [x[2] for x in flat],
-        "confidence": [x[3] for x in flat],
-        "stored_lang": b["lang"].repeat(n).to_numpy(),
-        "segments": np.repeat(n, n),
-    })
+FIELDS = [
+    T.StructField("seg_no", T.IntegerType()), T.StructField("seg_start", T.IntegerType()),
+    T.StructField("seg_end", T.IntegerType()), T.StructField("lang", T.StringType()),
+    T.StructField("confidence", T.DoubleType()), T.StructField("segments", T.IntegerType())]
 
 
 def stretches(spark: SparkSession, docs: DataFrame) -> DataFrame:
-    """Every stretch of every document (columns doc_id, text, lang of ``docs``)."""
+    """Every stretch of every document (columns doc_id, text, lang of ``docs``): doc_id,
+    stored_lang, seg_no, seg_start, seg_end, lang, confidence, segments."""
     known = fit(sample(docs, "doc_id", "text", "lang"))
-    if not known.langs:
-        known = Model({"und": Counter()})
     # the model comes from a bounded sample, so its size is bounded too
     shared = spark.sparkContext.broadcast(known)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         model = shared.value
-        for b in batches:
-            yield from (_rows(model, part) for part in slices(b, "text"))
 
-    return docs.select("doc_id", "text", "lang").mapInPandas(run, SCHEMA)
+        def run(texts: list[str]) -> tuple[list[int], list[list]]:
+            found = detect(model, texts)
+            flat = [x for f in found for x in f]
+            return [len(f) for f in found], [
+                [i for f in found for i in range(1, len(f) + 1)], *([x[k] for x in flat] for k in range(4)),
+                [len(f) for f in found for _ in f]]
+
+        return run
+
+    return expand(docs, {"doc_id": "doc_id", "stored_lang": "lang"}, "text", FIELDS, make)

@@ -17,13 +17,13 @@ share and cap; repeated documents are drawn alike.
 from __future__ import annotations
 
 import base64
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lektra.llm.batches import expand
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 # Fixed value: the pre-splitting pattern that belongs to the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -39,17 +39,12 @@ def encoder(path: str):
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
     """``docs`` without the text, with ``tokens``; texts are encoded whole."""
-    keep = [c for c in docs.columns if c != text]
-    schema = T.StructType([*(docs.schema[c] for c in keep), T.StructField("tokens", T.LongType())])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make():
         enc = encoder(path)
-        for b in batches:
-            out = b[keep].copy()
-            out["tokens"] = [len(enc.encode_ordinary(t)) if t else 0 for t in b[text].tolist()]
-            yield out
+        return lambda texts: ([1] * len(texts), [[len(enc.encode_ordinary(t)) if t else 0 for t in texts]])
 
-    return docs.select(*keep, text).mapInPandas(run, schema)
+    keep = {c: c for c in docs.columns if c not in (text, "tokens")}
+    return expand(docs, keep, text, [T.StructField("tokens", T.LongType())], make)
 
 
 def rates(counted: DataFrame, targets: DataFrame) -> DataFrame:

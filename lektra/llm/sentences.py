@@ -21,13 +21,13 @@ unless a small letter follows.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from lektra.llm.batches import expand
+
 # Abbreviations that never end a sentence.
 ABBREVIATIONS = """
 βλ πρβλ δηλ κ.τ.λ π.χ λ.χ cod codd cf s.v lib cap kal D.M e.g i.e viz vol pp p no ed fr fl ca St Mr Mrs Ms Dr Prof
@@ -286,30 +286,20 @@ def spans(texts: list[str], width: int = 256) -> list[list[tuple[int, int]]]:
 def split_sentences(df: DataFrame, key: str, text: str, with_text: bool = False) -> DataFrame:
     """One row per sentence: the key, ``sent_no`` (from 1), ``sent_start``, ``sent_end``
     and, if asked for, ``sentence``."""
-    src = df.select(key, text)
-    fields = [
-        T.StructField(key, df.schema[key].dataType),
-        T.StructField("sent_no", T.IntegerType()),
-        T.StructField("sent_start", T.IntegerType()),
-        T.StructField("sent_end", T.IntegerType()),
-    ]
+    fields = [T.StructField(c, T.IntegerType()) for c in ("sent_no", "sent_start", "sent_end")]
     if with_text:
         fields.append(T.StructField("sentence", T.StringType()))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            texts = ["" if t is None else t for t in b.iloc[:, 1].tolist()]
+    def make():
+        def run(texts: list[str]) -> tuple[list[int], list[list]]:
             cut = spans(texts)
-            n = [len(c) for c in cut]
             flat = [x for c in cut for x in c]
-            data = {
-                key: b.iloc[:, 0].repeat(n).to_numpy(),
-                "sent_no": [i for k in n for i in range(1, k + 1)],
-                "sent_start": [x[0] for x in flat],
-                "sent_end": [x[1] for x in flat],
-            }
+            cols: list[list] = [
+                [i for c in cut for i in range(1, len(c) + 1)], [x[0] for x in flat], [x[1] for x in flat]]
             if with_text:
-                data["sentence"] = [t[s:e] for t, c in zip(texts, cut) for s, e in c]
-            yield pd.DataFrame(data)
+                cols.append([t[s:e] for t, c in zip(texts, cut) for s, e in c])
+            return [len(c) for c in cut], cols
+
+        return run
 
-    return src.where(df[text].isNotNull()).mapInPandas(run, T.StructType(fields))
+    return expand(df, {key: key}, text, fields, make)
