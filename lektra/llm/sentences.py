@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lektra.llm.batches import expand
+from lektra.llm.confusables import LONE, LOOKALIKES
 
 # Abbreviations that never end a sentence.
 ABBREVIATIONS = """
@@ -152,19 +153,40 @@ def _base_classes() -> np.ndarray:
 _TABLE = _base_classes()
 
 
+def _skeleton() -> dict[int, str | None]:
+    """Character -> what it looks like, case kept: accents off, look-alikes to one letter."""
+    import unicodedata as U
+
+    shape = {}
+    for line in LOOKALIKES.strip().splitlines():
+        letters = [x for x in line.split() if x != "-"]
+        shape |= {x: letters[0] for x in letters}
+    shape |= {x: letters[0] for x, letters in LONE.items()} | {"µ": "m", "σ": "s"}
+    out: dict[int, str | None] = {}
+    for cp in [*range(0x20, 0x530), *range(0x1E00, 0x2000), *range(0xFF01, 0xFF5F)]:
+        c = U.normalize("NFKD", chr(cp))[0] if cp >= 0xFF00 else U.normalize("NFD", chr(cp))[0]
+        c = shape.get(c, c)
+        if c != chr(cp):
+            out[cp] = c
+    return out
+
+
+_SKELETON = _skeleton()
+_DROP = re.compile("[­͏​-‍⁠﻿\u0300-\u036f]")
+
+
 def _alt(words: list[str]) -> str:
-    return "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True))
+    """The words as they look, longest first."""
+    looks = {w.translate(_SKELETON) for w in words}
+    return "|".join(re.escape(w) for w in sorted(looks, key=lambda w: (-len(w), w)))
 
 
 _QUIET = re.compile(
     rf"(?<![\w.])(?:(?:{_alt(ABBREVIATIONS)}|[A-ZΑ-Ω])\.|(?:{_alt(FINAL_ABBREVIATIONS)})\.(?=\s*,|\s+[^\W\d_A-ZΑ-Ω]))"
     r"|(?<=\d)[.·](?=\d)|(?:\.\.+|…)(?=\s*[^\W\d_A-ZΑ-Ω])"
 )
-_MAY_END = {"", *FINAL_ABBREVIATIONS}
+_MAY_END = {"", *(w.translate(_SKELETON) for w in FINAL_ABBREVIATIONS)}
 _SAY = re.compile(rf"[»”’\"'」』]\s+({_alt(SAYING)})(?!\w)")
-# the same letters with another script's look-alikes are the lexical machine's business too
-_FOLD = str.maketrans("оеасрхіѕɣıµ．！？", "oeacpxisγιμ.!?")
-_DROP = re.compile("[­͏​-‍⁠﻿]")
 
 
 def classes(text: str) -> np.ndarray:
@@ -177,7 +199,7 @@ def classes(text: str) -> np.ndarray:
     if _DROP.search(t):
         keep = [i for i, ch in enumerate(t) if not _DROP.match(ch)]
         back, t = np.array([*keep, len(text)]), "".join(t[i] for i in keep)
-    t = t.translate(_FOLD)
+    t = t.translate(_SKELETON)
     for m in _QUIET.finditer(t):
         if m.group().rstrip(".…") in _MAY_END and t[m.end():].lstrip()[:1].isupper():
             continue
