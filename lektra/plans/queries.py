@@ -70,7 +70,7 @@ def q01_lines(c: Corpus) -> DataFrame:
 WITH t AS (SELECT id, book_id, list_filter(regexp_split_to_array(line_text, '{_SPACE}'), lambda x: x <> '') AS ws FROM text_lines),
 w AS (SELECT id, book_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS p FROM t),
 n AS (SELECT id, CAST(p AS INTEGER) AS word_position, word,
-      CASE WHEN book_id LIKE 'tlg%' THEN {_n1('word')} ELSE lower(word) END AS word_normalized FROM w)
+      CASE WHEN book_id LIKE 'tlg%' THEN {_n1('word')} ELSE lower(regexp_replace(word, '(\p{{L}})Σ(\P{{L}}|$)', '\1ς\2', 'g')) END AS word_normalized FROM w)
 SELECT * FROM n WHERE word_normalized <> ''""")
 def q02_words(c: Corpus) -> DataFrame:
     """Words of every line; positions count dropped tokens too."""
