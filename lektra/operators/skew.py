@@ -75,9 +75,9 @@ class LoadPlan:
         )
 
     def fragment(self, df: DataFrame, key: str, spread: list[str] | None = None) -> DataFrame:
-        """Send each row to its task. ``spread`` picks the shard of a heavy key
-        (default: all columns plus the row's place in its input partition)."""
-        by = [F.col(f"`{c}`") for c in spread] if spread else [F.monotonically_increasing_id()]
+        """Send each row to its task. The hash of ``spread`` (default: all columns) picks the
+        shard of a heavy key, so a task that runs again routes its rows as before."""
+        by = [F.col(f"`{c}`") for c in spread or df.columns]
         routed = self._routed(df.withColumn("__lk_spread", F.xxhash64(*by)), key)
         shard = F.pmod(F.col("__lk_spread"), F.greatest(F.size("__lk_shards"), F.lit(1)).cast("long")).cast("int")
         task = F.coalesce(F.get(F.col("__lk_shards"), shard), F.col("__lk_home"), F.lit(0))
@@ -150,7 +150,8 @@ def plan_load(df: DataFrame, key: str, tasks: int | None = None) -> LoadPlan:
 
 
 def balanced_agg(
-    df: DataFrame, key: str, distinct: dict[str, str] | None = None, plan: LoadPlan | None = None
+    df: DataFrame, key: str, distinct: dict[str, str] | None = None, plan: LoadPlan | None = None,
+    spread: list[str] | None = None,
 ) -> DataFrame:
     """Row count per key and the number of distinct non-null values of some columns.
 
@@ -161,7 +162,8 @@ def balanced_agg(
     plan = plan or plan_load(df, key)
     distinct = distinct or {}
     cols = [c for c in dict.fromkeys(distinct.values()) if c != key]
-    rows = plan.fragment(df.select(key, *cols), key)
+    # all that is read is the key, the counted columns and those that spread a heavy key
+    rows = plan.fragment(df.select(*dict.fromkeys([key, *cols, *(spread or df.columns)])), key, spread)
     partial = rows.groupBy(key, *cols).agg(F.count(F.lit(1)).alias("__lk_n"))
     return partial.groupBy(key).agg(
         F.sum("__lk_n").alias("row_count"),
@@ -169,7 +171,9 @@ def balanced_agg(
     )
 
 
-def balanced_join(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan | None = None) -> DataFrame:
+def balanced_join(
+    left: DataFrame, right: DataFrame, key: str, plan: LoadPlan | None = None, spread: list[str] | None = None
+) -> DataFrame:
     """Inner equi join, fragment-replicate: ``left`` is cut, ``right`` follows the shards.
 
     Null keys join nothing. Columns of ``right`` that clash with ``left`` keep
@@ -181,14 +185,14 @@ def balanced_join(left: DataFrame, right: DataFrame, key: str, plan: LoadPlan |
     right = right.withColumnsRenamed(clash)
     plan = plan or plan_load(left, key)
     return (
-        plan.fragment(left, key)
+        plan.fragment(left, key, spread)
         .join(plan.replicate(right, key), ["__lk_task", key])
         .drop("__lk_task")
     )
 
 
-def heavy_keys(df: DataFrame, key: str, share: float = 0.02) -> DataFrame:
+def heavy_keys(df: DataFrame, key: str, share: float = 0.02, spread: list[str] | None = None) -> DataFrame:
     """Non-empty keys that hold at least ``share`` of all rows, from balanced counts."""
     plan = plan_load(df, key)
-    counts = balanced_agg(df, key, plan=plan)
+    counts = balanced_agg(df, key, plan=plan, spread=spread)
     return counts.where((F.col("row_count") >= F.lit(share * plan.total)) & (F.col(key) != ""))

@@ -9,10 +9,14 @@ from lektra.operators import orphans, skew
 from lektra.runtime import table
 
 
+#: what tells the rows of a frequent word or lemma apart
+SPREAD = {"word_forms": ["book_id", "line_number", "word_position"], "lemma_map": ["word_form", "source"]}
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     out = None
     for name, key in (("word_forms", "word_normalized"), ("lemma_map", "lemma")):
-        part = skew.heavy_keys(table(spark, d, name), key).select(
+        part = skew.heavy_keys(table(spark, d, name), key, spread=SPREAD[name]).select(
             F.lit(name).alias("table_name"), F.col(key).alias("key_value"))
         out = part if out is None else out.unionByName(part)
     return out
@@ -20,20 +24,22 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p1_word_stats(spark: SparkSession, d: str) -> DataFrame:
     return skew.balanced_agg(
-        table(spark, d, "word_forms"), "word_normalized", {"books": "book_id", "forms": "word"})
+        table(spark, d, "word_forms"), "word_normalized", {"books": "book_id", "forms": "word"},
+        spread=SPREAD["word_forms"])
 
 
 def p1_lemma_stats(spark: SparkSession, d: str) -> DataFrame:
     return skew.balanced_agg(
-        table(spark, d, "lemma_map"), "lemma", {"forms": "word_form", "normal_forms": "word_normalized"})
+        table(spark, d, "lemma_map"), "lemma", {"forms": "word_form", "normal_forms": "word_normalized"},
+        spread=SPREAD["lemma_map"])
 
 
 def p1_lemma_occurrences(spark: SparkSession, d: str) -> DataFrame:
     """Occurrences in the texts per lemma: both the words and the lemmas are skewed."""
-    words = table(spark, d, "word_forms").select("word_normalized", "book_id")
+    words = table(spark, d, "word_forms").select("word_normalized", "book_id", "line_number", "word_position")
     lemmas = table(spark, d, "lemma_map").select("word_normalized", "lemma").distinct()
     return (
-        skew.balanced_join(words, lemmas, "word_normalized")
+        skew.balanced_join(words, lemmas, "word_normalized", spread=SPREAD["word_forms"])
         .groupBy("lemma", "word_normalized", "book_id").agg(F.count(F.lit(1)).alias("n"))
         .groupBy("lemma").agg(
             F.sum("n").alias("occurrences"),

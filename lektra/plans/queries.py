@@ -503,6 +503,11 @@ def q53_lemma_map_stats(c: Corpus) -> DataFrame:
     return reports.lemma_map_stats(c)
 
 
+@query("""SELECT word_form, lemma, confidence FROM lemma_map WHERE word_normalized IN (SELECT word_normalized FROM word_forms)""")
+def q17_restricted_vocabulary(c: Corpus) -> DataFrame:
+    return reports.restrict_vocabulary(c).select("word_form", "lemma", "confidence")
+
+
 # Words whose lemmas are looked for.
 PROBE = "μηνιν αειδε πολλασ ψυχασ εθηκε ουλομενην μαλιστα πρωτον μεντοι ορθωσ ουχ ημιν".split()
 

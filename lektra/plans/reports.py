@@ -179,3 +179,24 @@ def with_translation_flag(c: Corpus) -> DataFrame:
         F.split_part(F.col("book_id"), F.lit("."), F.lit(1)).alias("id")).distinct().withColumn("t", F.lit(1))
     return c.authors.select("id", "language").join(have, "id", "left").select(
         "id", "language", F.coalesce("t", F.lit(0)).alias("has_translations"))
+
+
+def quality_text(c: Corpus) -> DataFrame:
+    """The quality report as ordered lines of text, headers where author or work change."""
+    q = quality(c)
+    body = F.format_string(
+        "    %s: %d lines (%s-%s), %d segments (%s-%s)", "book_id", "lines", F.coalesce(F.col("first_line").cast("string"), F.lit("-")),
+        F.coalesce(F.col("last_line").cast("string"), F.lit("-")), "segments",
+        F.coalesce(F.col("first_segment").cast("string"), F.lit("-")), F.coalesce(F.col("last_segment").cast("string"), F.lit("-")))
+    head = F.when(F.col("new_work"), F.concat(F.lit("  Work "), F.col("work_id")))
+    rows = q.select("author_id", "work_id", "book_number", "book_id",
+                    F.posexplode(F.array_compact(F.array(head, body))).alias("i", "line"))
+    authors = q.select("author_id").distinct().select(
+        "author_id", F.lit("").alias("work_id"), F.lit(0).alias("book_number"), F.lit("").alias("book_id"), F.lit(0).alias("i"),
+        F.concat(F.lit("Author "), "author_id").alias("line"))
+    return rows.unionByName(authors).orderBy("author_id", "work_id", "book_number", "book_id", "i")
+
+
+def restrict_vocabulary(c: Corpus) -> DataFrame:
+    """The lemma map without forms that no text has."""
+    return c.lemmas.join(c.words.select("word_normalized").distinct(), "word_normalized", "left_semi")

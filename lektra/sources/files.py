@@ -109,8 +109,71 @@ def form_mappings(pages: DataFrame, confidence: float = 0.95, source: str = "wik
     return first_writer([norm.where(ok)], ["word_form", "lemma"], ["morph_info"])
 
 
-# Part-of-speech headings.
-PARTS_OF_SPEECH = "Noun Verb Adjective Adverb Pronoun Preposition Conjunction Particle Participle Interjection Article Numeral".split()
+# Part-of-speech headings, and those a single inflected page is looked up for.
+PARTS_OF_SPEECH = "Noun Verb Adjective Adverb Particle Conjunction Preposition Pronoun Numeral Interjection Article Determiner".split()
+PAGE_PARTS = "Noun Verb Adjective Pronoun Particle Adverb Preposition Conjunction Numeral Interjection Proper noun".split(" ", 10)
+
+
+def inflection_of(pages: DataFrame) -> DataFrame:
+    """Every "inflection of" template of a page with its tags; one row per form and lemma, the first."""
+    found = F.regexp_extract_all("wikitext", F.lit("\\{\\{inflection of\\|(?:grc|el)\\|[^|{}]+\\|[^{}]*\\}\\}"), F.lit(0))
+    rows = pages.select("title", F.posexplode(found).alias("pos", "t"))
+    raw = F.regexp_replace(F.regexp_extract("t", "of\\|(?:grc|el)\\|([^|]+)\\|", 1), "\\[\\[|\\]\\]", "")
+    rows = rows.select(
+        text.normalize_greek(F.col("title")).alias("word_form"), text.normalize_greek(raw).alias("lemma"), "title", "pos",
+        F.lit(1.0).alias("confidence"), F.lit("wiktionary:inflection_of").alias("source"),
+        F.regexp_extract("t", "of\\|(?:grc|el)\\|[^|]+\\|([^}]*)\\}\\}", 1).alias("tags"))
+    ok = (F.col("word_form") != "") & (F.col("lemma") != "") & (F.col("lemma") != F.col("word_form"))
+    return first_writer([rows.where(ok)], ["word_form", "lemma"], ["title", "pos"]).drop("title", "pos")
+
+
+def inflection_info(pages: DataFrame) -> DataFrame:
+    """One row per inflected page: lemma and tags of the first template in this order, and
+    the page's part of speech and first definition. The Ancient Greek section counts, else the Greek one."""
+    ancient, modern = (text.wiki_section(F.col("wikitext"), h) for h in ("Ancient Greek", "Greek"))
+    s = pages.withColumn("s", F.coalesce(F.nullif(ancient, F.lit("")), F.nullif(modern, F.lit("")))).where(F.col("s").isNotNull())
+    get = lambda p, g: F.nullif(F.regexp_extract("s", p, g), F.lit(""))
+    # Fixed values, in order: pattern, group of the lemma, group of the tags.
+    ladder = [
+        ("(?i)\\{\\{inflection of\\|grc\\|([^|]+)\\|([^}]+)\\}\\}", 1, 2),
+        ("(?i)\\{\\{inflection of\\|el\\|([^|]+)\\|([^}]+)\\}\\}", 1, 2),
+        ("(?i)\\{\\{infl of\\|grc\\|([^|]+)\\|([^}]+)\\}\\}", 1, 2),
+        ("(?i)\\{\\{form of\\|([^|]+)\\|([^|]+)\\|lang=grc[^}]*\\}\\}", 2, 0),
+        ("(?i)\\{\\{inflected form of\\|grc\\|([^|}]+)[^}]*\\}\\}", 1, 0),
+        ("(?i)\\{\\{(nominative|genitive|dative|accusative|vocative) (?:singular|plural) of\\|grc\\|([^}]+)\\}\\}", 2, 1),
+    ]
+    lemma = tags = None
+    for p, g, t in ladder:
+        hit = get(p, g)
+        tag = F.filter(F.transform(F.split(get(p, t), "\\|"), F.trim), lambda x: x != "") if t else F.array().cast("array<string>")
+        lemma = F.when(hit.isNotNull(), hit) if lemma is None else lemma.when(hit.isNotNull(), hit)
+        tags = F.when(hit.isNotNull(), tag) if tags is None else tags.when(hit.isNotNull(), tag)
+    pos = F.lower(get("===(" + "|".join(PAGE_PARTS) + ")===", 1))
+    lines = F.filter(F.split("s", "\n"), lambda x: x.startswith("# "))
+    s = s.withColumn("lemma", F.trim(F.regexp_replace(lemma, "[#|].*", ""))).withColumn("morphology", tags)
+    return s.where(F.col("lemma").isNotNull()).select(
+        F.col("title").alias("word_form"), text.normalize_greek(F.col("title")).alias("word_normalized"), "lemma",
+        text.normalize_greek(F.col("lemma")).alias("lemma_normalized"), pos.alias("pos"), "morphology",
+        F.when(pos.isNotNull(), text.wiki_plain(F.substring(F.get(lines, 0), 3, 1_000_000))).alias("definition"))
+
+
+def greek_noun_forms(pages: DataFrame) -> DataFrame:
+    """Noun forms of the Greek-language wiki: the last parameter of the inflection template,
+    else the word named in the text."""
+    t = F.col("wikitext")
+    template = F.nullif(F.trim(F.regexp_extract(t, "\\{\\{\\s*κλ\\s*\\|\\s*grc\\s*\\|[^}]*\\|([^}|]+)\\s*\\}\\}", 1)), F.lit(""))
+    named = F.nullif(F.trim(F.regexp_extract(t, "της λέξης \\[\\[([^\\]]+)\\]\\]", 1)), F.lit(""))
+    return pages.where(t.contains("=={{-grc-}}==") & t.contains("{{μορφή ουσιαστικού|grc}}")).select(
+        text.normalize_greek(F.col("title")).alias("word_form"), text.normalize_greek(F.coalesce(template, named)).alias("lemma"),
+        F.lit(1.0).alias("confidence"), F.when(template.isNotNull(), "elwiktionary:κλ").otherwise("elwiktionary:λέξης").alias("source"),
+    ).where((F.col("lemma") != "") & (F.col("lemma") != F.col("word_form")))
+
+
+def greek_verb_pages(pages: DataFrame) -> DataFrame:
+    """Pages of the Greek-language wiki about ancient verbs."""
+    t = F.col("wikitext")
+    return pages.where(t.contains("==Αρχαία ελληνικά==") & (t.contains("===Ρήμα===") | t.contains("{{κλ:"))).select(
+        "title", text.normalize_greek(F.col("title")).alias("lemma"))
 
 
 def page_words(pages: DataFrame) -> DataFrame:
@@ -118,7 +181,7 @@ def page_words(pages: DataFrame) -> DataFrame:
     their own lemma (0.95); morphology "type:pos,pos"."""
     s = pages.withColumn("s", text.wiki_section(F.col("wikitext"), "Ancient Greek")).where(F.col("s") != "")
     pos = F.array_compact(F.array(*[
-        F.when(F.col("s").rlike(f"(?m)^===+\\s*{p}\\s*===+"), F.lit(p.lower())) for p in PARTS_OF_SPEECH]))
+        F.when(F.col("s").rlike(f"(?i)==={p}==="), F.lit(p.lower())) for p in PARTS_OF_SPEECH]))
     s = s.withColumn("pos", pos).withColumn("lemmas", F.array_distinct(text.template_lemmas(F.col("s"))))
     inflected = F.size("lemmas") > 0
     rows = s.where(inflected | (F.size("pos") > 0)).select(
@@ -146,11 +209,62 @@ def definitions(pages: DataFrame, wanted: DataFrame | None = None, n: int = 3, c
 
 
 def table_forms(pages: DataFrame) -> DataFrame:
-    """Every Greek run of more than two letters in declension and conjugation templates."""
-    blocks = F.regexp_extract_all("wikitext", F.lit("(?s)\\{\\{(?:grc-decl|grc-conj|grc-adecl)[^}]*\\}\\}"), F.lit(0))
-    runs = F.flatten(F.transform(blocks, lambda b: F.regexp_extract_all(b, F.lit("[Ͱ-Ͽἀ-῿]+"), F.lit(0))))
-    return pages.select("title", F.explode(F.array_distinct(F.filter(runs, lambda r: F.length(r) > 2))).alias("form")).where(
-        F.col("form") != F.col("title"))
+    """Every Greek run of more than two letters in the inflection templates and sections of
+    the Ancient Greek section; of a form named twice the last counts."""
+    s = text.wiki_section(F.col("wikitext"), "Ancient Greek")
+    # Templates and sections with inflected forms.
+    verb = "\\{\\{(?:grc-conj|grc-verb|el-conj)[^}]*\\}\\}|====Conjugation====.*?(?=\\n====|\\n===|\\z)|===Verb===.*?(?=\\n===|\\z)"
+    noun = "\\{\\{(?:grc-decl|grc-adecl|grc-noun|el-nN|el-nF|el-nM)[^}]*\\}\\}|====Declension====.*?(?=\\n====|\\n===|\\z)"
+    runs = lambda p: F.flatten(F.transform(
+        F.regexp_extract_all(s, F.lit("(?s)" + p), F.lit(0)),
+        lambda b: F.regexp_extract_all(b, F.lit("[\u0370-\u03FF\u1F00-\u1FFF]+"), F.lit(0))))
+    both = F.concat(
+        F.transform(runs(verb), lambda f: F.struct(f.alias("form"), F.lit("verb").alias("pos"))),
+        F.transform(runs(noun), lambda f: F.struct(f.alias("form"), F.lit("noun").alias("pos"))))
+    rows = pages.select("title", F.posexplode(both).alias("i", "f")).select("title", "i", "f.form", "f.pos").where(
+        (F.length("form") > 2) & (F.col("form") != F.col("title")))
+    rows = rows.withColumn("word_normalized", text.normalize_greek(F.col("form"))).withColumn("lemma", text.normalize_greek(F.col("title")))
+    return rows.where((F.col("word_normalized") != "") & (F.col("word_normalized") != F.col("lemma"))).groupBy(
+        "lemma", "word_normalized").agg(F.max_by(F.struct("form", "pos"), "i").alias("x")).select(
+        "lemma", "word_normalized", F.col("x.form").alias("form"), F.col("x.pos").alias("pos"))
+
+
+# Entries that the dictionary lacks: headword, its text.
+SUPPLEMENTS = """
+σφωέ|pronoun. Epic enclitic third person dual personal pronoun: they two, both of them, these two.
+Ἀτρεύς|-έως, ὁ, proper name. Atreus, king of Mycenae, father of Agamemnon and Menelaus.
+πρῶτα|neuter plural of πρῶτος used adverbially: first, at first, firstly.
+νοῦσος|ἡ, (Ionic for νόσος) disease, sickness, plague.
+ἑλώριον|τό, prey, spoil, booty; especially of bodies given as prey.
+"""
+
+
+def supplements(spark: SparkSession, entries: DataFrame, lemma_map: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Rows to add: entries of absent headwords, and their lemma of their own where it is absent."""
+    rows = spark.createDataFrame([tuple(x.split("|", 1)) for x in SUPPLEMENTS.strip().splitlines()], "headword string, t string")
+    head = F.col("headword")
+    new = rows.select(
+        "headword", text.normalize_greek(head).alias("headword_normalized"), F.lit("greek").alias("language"),
+        F.concat(F.lit("<b>"), head, F.lit("</b>, "), F.col("t")).alias("entry_html"),
+        F.concat(head, F.lit(", "), F.col("t")).alias("entry_plain"), F.lit("wiktionary").alias("source"),
+    ).join(entries.select("headword_normalized").distinct(), "headword_normalized", "left_anti")
+    own = new.select(
+        head.alias("word_form"), F.col("headword_normalized").alias("word_normalized"),
+        F.col("headword_normalized").alias("lemma"), F.lit(1.0).alias("confidence"), F.lit("wiktionary").alias("source"))
+    return new, own.join(lemma_map.select("word_form", "lemma").distinct(), ["word_form", "lemma"], "left_anti")
+
+
+def write_tables(frames: dict[str, DataFrame], path: str) -> None:
+    """Tables as Parquet (zstd), sorted within files by what lookups ask for, so that row groups can be skipped."""
+    # Sort keys of the tables.
+    order = {
+        "text_lines": ["book_id", "line_number"], "words": ["word_normalized"], "word_forms": ["word_normalized"],
+        "translation_segments": ["book_id", "start_line"], "translation_lookup": ["book_id", "line_number"],
+        "dictionary_entries": ["headword_normalized"], "lemma_map": ["word_normalized"]}
+    for name, df in frames.items():
+        if name in order:
+            df = df.sortWithinPartitions(*order[name])
+        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}.parquet")
 
 
 # --- JSON, CSV, lists

@@ -113,7 +113,7 @@ def test_wiki_dump(spark, tmp_path):
     assert w == {"λόγου": ("λογοσ", 0.9, "inflection:noun"), "λόγος": ("λογοσ", 0.95, "lemma:noun")}
     d = {r.word_normalized: r.entry_plain for r in files.definitions(g).collect()}
     assert d["λογοσ"] == "that which is spoken word; account"
-    assert {r.form for r in files.table_forms(g).collect()} == {"λόγοι", "λόγων"}
+    assert {(r.form, r.lemma, r.pos) for r in files.table_forms(g).collect()} == {("λόγοι", "λογοσ", "noun"), ("λόγων", "λογοσ", "noun")}
 
 
 def test_json_csv_lists(spark, tmp_path):
@@ -150,3 +150,43 @@ def test_schema_check():
 def test_beta_key(spark):
     df = spark.createDataFrame([("lo/gos|",)], "k string")
     assert df.select(text.beta_key(F.col("k"))).first()[0] == "lo\u0301gosι"
+
+
+def test_wiki_ladders(spark):
+    rows = [
+        ("λόγου", "==Ancient Greek==\n===Noun===\n# the [[word|speech]]\n{{inflection of|grc|λόγος||gen|s}} {{inflection of|el|[[λόγος]]||x}}"),
+        ("θεοῖς", "==Greek==\n{{dative plural of|grc|θεός#A}}"), ("x", "==English=="),
+        ("μῆνιν", "=={{-grc-}}==\n{{μορφή ουσιαστικού|grc}} {{κλ|grc|π=α|μῆνις}}"),
+        ("νόμου", "=={{-grc-}}==\n{{μορφή ουσιαστικού|grc}} γενική της λέξης [[νόμος]]"),
+        ("λύω", "==Αρχαία ελληνικά==\n===Ρήμα==="),
+    ]
+    p = spark.createDataFrame(rows, "title string, wikitext string")
+    assert [(r.word_form, r.lemma, r.tags) for r in files.inflection_of(p).collect()] == [("λογου", "λογοσ", "|gen|s")]
+    info = {r.word_form: (r.lemma, r.morphology, r.pos, r.definition) for r in files.inflection_info(p).collect()}
+    assert info == {"λόγου": ("λόγος", ["gen", "s"], "noun", "the speech"), "θεοῖς": ("θεός", ["dative"], None, None)}
+    assert {(r.word_form, r.lemma, r.source) for r in files.greek_noun_forms(p).collect()} == {
+        ("μηνιν", "μηνισ", "elwiktionary:κλ"), ("νομου", "νομοσ", "elwiktionary:λέξης")}
+    assert [r.title for r in files.greek_verb_pages(p).collect()] == ["λύω"]
+
+
+def test_supplements_and_tables(spark, tmp_path):
+    e = spark.createDataFrame([("ατρευσ",)], "headword_normalized string")
+    m = spark.createDataFrame([("πρῶτα", "πρωτα")], "word_form string, lemma string")
+    new, own = files.supplements(spark, e, m)
+    assert {r.headword_normalized for r in new.collect()} == {"σφωε", "πρωτα", "νουσοσ", "ελωριον"}
+    assert {r.lemma for r in own.collect()} == {"σφωε", "νουσοσ", "ελωριον"}
+    files.write_tables({"lemma_map": m.withColumn("word_normalized", F.col("lemma")), "x": e}, str(tmp_path))
+    assert spark.read.parquet(str(tmp_path / "lemma_map.parquet")).count() == 1
+
+
+def test_quality_text(spark):
+    from lektra.plans import reports
+    from lektra.plans.corpus import Corpus
+
+    lines = [r.line for r in reports.quality_text(Corpus(spark, "/root/testdata/sf0.001")).collect()]
+    assert lines[0].startswith("Author ") and lines[1].startswith("  Work ") and any("segments" in x for x in lines)
+
+
+def test_display_title(spark):
+    df = spark.createDataFrame([("Ἰλιάς", "Iliad"), ("a", " "), ("b", "tlg001"), ("c", None)], "t string, e string")
+    assert [r[0] for r in df.select(text.display_title(F.col("t"), F.col("e"))).collect()] == ["Iliad", "a", "b", "c"]
