@@ -297,10 +297,11 @@ def test_leaks_whole_part_and_edited(spark):
         (5, " ".join(fill(10) + item[5:20] + fill(30))),  # too short
         (6, " ".join(fill(200))), (7, None), (8, ""), (9, " ".join(item) + " " + " ".join(fill(300_000))),
         (1, " ".join(item)), (10, " ".join(rnd.sample(item, 50))),
+        (11, "\n".join(f"{w[:2]}-\n{w[2:]}" for w in item[:25])),
     ]
     found = _leaks(spark, docs, [(7, " ".join(item)), (8, "short item"), (9, None), (7, " ".join(fill(40)))])
     got = sorted((r.doc_id, r.item_id) for r in found.collect())
-    assert got == [(1, 7), (1, 7), (2, 7), (3, 7), (4, 7), (9, 7)]
+    assert got == [(1, 7), (1, 7), (2, 7), (3, 7), (4, 7), (9, 7), (11, 7)]
     d = spark.createDataFrame([x for x in docs if x[0] in (2, 4, 6, 7)], "doc_id long, text string")
     clean = {r.doc_id: (r.clean_text, r.chars_removed) for r in contamination.removed(d, found.where("doc_id in (2, 4, 6)")).collect()}
     text = dict(docs)
