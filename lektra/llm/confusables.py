@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lektra.runtime import cut
+
 # Letters that look alike, one line a shape: Latin, Greek, Cyrillic ("-": none).
 LOOKALIKES = """
 A Α А
@@ -185,7 +187,8 @@ def canonical(df: DataFrame, field: str) -> DataFrame:
     """One row per distinct non-null value of ``field``: ``value``, ``canonical``."""
     spark = df.sparkSession
     values = df.select(F.col(f"`{field}`").alias("value")).where("value IS NOT NULL").distinct()
-    forms = values.select("value", mapped("value").alias("form"))
+    # used on both sides of the join below, so it is made once
+    forms = cut(values.select("value", mapped("value").alias("form")))
     return spark.sql(
         """
         WITH forms AS (SELECT value, form, form COLLATE UNICODE AS class FROM {forms}),
