@@ -12,17 +12,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_ROOTS: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder below ``spark.checkpoint.dir``.
+    """A path for a new folder below ``spark.checkpoint.dir``.
 
     The setting is the cluster's; only where it is unset (tests, a laptop) a
-    temporary folder takes its place.
+    temporary folder takes its place. What an application wrote goes when it ends.
     """
+    sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = "file://" + tempfile.mkdtemp(prefix="lektra-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/lektra-{uuid.uuid4().hex}"
+    key = f"{sc.applicationId} {base}"
+    if key not in _ROOTS:
+        _ROOTS[key] = f"{base.rstrip('/')}/lektra-{uuid.uuid4().hex}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(_ROOTS[key])
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+    return f"{_ROOTS[key]}/{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:
