@@ -88,32 +88,36 @@ def _grams(word: str, n: int) -> list[str]:
 class Model:
     """Word and n-gram score tables; rows are relative log-likelihoods, clipped."""
 
-    def __init__(self, counts: dict[str, Counter], min_count: int = 3):
+    def __init__(self, counts: dict[str, Counter], min_count: int = 3, max_n: int = MAX_N):
         self.langs = sorted(counts)
         k = len(self.langs)
-        vocab: dict[str, np.ndarray] = {}
+        vocab: dict[str, list[int]] = {}
         for j, lang in enumerate(self.langs):
             for w, n in counts[lang].items():
-                vocab.setdefault(w, np.zeros(k))[j] += n
+                vocab.setdefault(w, [0] * k)[j] += n
         # names and other words of few occurrences are left to their n-grams
-        self.words = {w: i for i, w in enumerate(w for w, v in vocab.items() if v.sum() >= min_count)}
-        folded: dict[str, np.ndarray] = {}
-        for w in self.words:
+        kept = {w: v for w, v in vocab.items() if sum(v) >= min_count}
+        folded: dict[str, list[int]] = {}
+        for w, v in kept.items():
             f = PLAIN + fold(w)
-            folded[f] = folded[f] + vocab[w] if f in folded else vocab[w]
-        table = np.array([*(vocab[w] for w in self.words), *folded.values()]).reshape(-1, k)
-        self.words |= {f: i for i, f in enumerate(folded, len(self.words))}
+            folded[f] = [a + b for a, b in zip(folded[f], v)] if f in folded else v
+        kept |= folded
+        self.words = {w: i for i, w in enumerate(kept)}
+        table = np.array([*kept.values()], dtype=np.float64).reshape(-1, k)
         self.table = self._scores(table, np.array([max(sum(counts[x].values()), 1) for x in self.langs]))
         self.grams: list[dict[str, int]] = [{} for _ in range(MAX_N + 1)]
         self.gram_tables: list[np.ndarray] = [np.zeros((0, k))] * (MAX_N + 1)
-        for n in range(1, MAX_N + 1):
-            g: dict[str, np.ndarray] = {}
+        for n in range(1, max_n + 1):
+            g: dict[str, list[int]] = {}
             for w, v in vocab.items():
                 for x in _grams(w, n):
-                    g[x] = g[x] + v if x in g else v.copy()
-            kept = [x for x, v in g.items() if v.sum() >= min_count]
-            m = np.array([g[x] for x in kept]).reshape(len(kept), k)
-            self.grams[n] = {x: i for i, x in enumerate(kept)}
+                    if x in g:
+                        g[x] = [a + b for a, b in zip(g[x], v)]
+                    else:
+                        g[x] = v
+            g = {x: v for x, v in g.items() if sum(v) >= min_count}
+            m = np.array([*g.values()], dtype=np.float64).reshape(-1, k)
+            self.grams[n] = {x: i for i, x in enumerate(g)}
             self.gram_tables[n] = self._scores(m, np.maximum(m.sum(axis=0), 1.0)) / n
         self.cache: dict[str, int] = {}
         self.extra: list[np.ndarray] = []
@@ -156,7 +160,8 @@ class Model:
         out = np.empty((len(ids), len(self.langs)), dtype=np.float32)
         known = ids < base
         out[known] = self.table[ids[known]]
-        out[~known] = np.array(self.extra, dtype=np.float32)[ids[~known] - base]
+        if not known.all():
+            out[~known] = np.array([self.extra[i - base] for i in ids[~known].tolist()])
         return out
 
 
@@ -169,7 +174,8 @@ def fit(labelled: list[tuple[str, str]], rounds: int = 2) -> Model:
             pieces.append((lang, words_of(text[a:b])))
     for lang, ws in pieces:
         counts.setdefault(lang, Counter()).update(ws)
-    model = Model(counts or {"und": Counter()})
+    # short n-grams are enough to tell units apart between the rounds
+    model = Model(counts or {"und": Counter()}, max_n=2 if rounds > 1 else MAX_N)
     for _ in range(rounds - 1):
         counts = {lang: Counter() for lang in model.langs}
         for lang, ws in pieces:
