@@ -78,7 +78,7 @@ def _aggregate(spill: str | None, memory: str, term: str, record: list[str]):
             con.execute(f"SET temp_directory = '{folder}'")
         con.register("rows_in", pa.RecordBatchReader.from_batches(first.schema, stream()))
         rec = ", ".join(f'"{c}"' for c in record)
-        result = con.execute(
+        result = con.sql(
             f"""
             WITH d AS (SELECT DISTINCT * FROM rows_in),
                  r AS (SELECT "{term}" AS term, {rec}, count(*) AS n FROM d GROUP BY ALL)
