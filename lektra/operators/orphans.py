@@ -51,12 +51,18 @@ def _arrived(col: str, lo, hi):
     return cond | c.isNull() if lo is None else cond
 
 
+def month(c):
+    """Month of a timestamp in UTC, whatever the session's time zone."""
+    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
+    return F.date_format(utc, "yyyy-MM")
+
+
 def reference_delta(r: Reference, lo=None, hi=None) -> DataFrame:
     rows = r.child.where(F.col(r.column).isNotNull() & _arrived("ingested_at", lo, hi))
     return rows.groupBy(
         F.lit(r.name).alias("table_name"),
         F.col(r.column).cast("string").alias("ref_key"),
-        F.date_format("ingested_at", "yyyy-MM").alias("load_month"),
+        month(F.col("ingested_at")).alias("load_month"),
     ).agg(F.count(F.lit(1)).alias("refs"), F.min("ingested_at").alias("first_ref"))
 
 

@@ -59,7 +59,7 @@ def orphan_stream(
             spark, _version(spark, f"{path}/refs", n - 1, orphans.REF_SCHEMA),
             _version(spark, f"{path}/parents", n - 1, orphans.PARENT_SCHEMA))
         refs = batch.where("side = 'ref' AND ref_key IS NOT NULL").groupBy(
-            "table_name", "ref_key", F.date_format("at", "yyyy-MM").alias("load_month")).agg(
+            "table_name", "ref_key", orphans.month(F.col("at")).alias("load_month")).agg(
             F.count(F.lit(1)).alias("refs"), F.min("at").alias("first_ref"))
         parents = batch.where("side IN ('parent', 'removed') AND ref_key IS NOT NULL").groupBy("table_name", "ref_key").agg(
             F.sum(F.when(F.col("side") == "parent", 1).otherwise(0)).alias("arrived"),
