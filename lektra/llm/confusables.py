@@ -29,7 +29,7 @@ from lektra.runtime import cut
 LOOKALIKES = """
 A Α А
 B Β В
-C Ϲ С
+C - С
 E Ε Е
 H Η Н
 I Ι І
@@ -45,7 +45,7 @@ X Χ Х
 Y Υ У
 Z Ζ -
 a α а
-c ϲ с
+c - с
 e ε е
 h - һ
 i ι і
@@ -140,8 +140,17 @@ def _word_scripts(word: str) -> tuple[list[int], list[int]]:
 
 
 def mapped_form(text: str | None) -> str | None:
+    """The form of a text; a form is its own form."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
+    for _ in range(5):
+        before, text = text, _pass(text)
+        if text == before:
+            break
+    return text
+
+
+def _pass(text: str) -> str:
     t = U.normalize("NFD", text.translate(_CHARS))
     record: list[int] | None = None
     out, last = [], 0
