@@ -108,22 +108,64 @@ def numbered(df: DataFrame, by: list[str], order: list[str], out: str = "n") ->
     return df.withColumn(out, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
 
 
-def carried(df: DataFrame, by: list[str], order: list[str], col: str, out: str) -> DataFrame:
-    """The last non-null value up to here."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
-
-
-def islands(df: DataFrame, by: list[str], order: list[str], starts: Column, out: str = "island") -> DataFrame:
-    """Number of the run a row belongs to; a run begins where ``starts`` holds (0: before the first)."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.sum(F.when(starts, 1).otherwise(0)).over(w))
-
-
-def changed(df: DataFrame, by: list[str], order: list[str], col: str, out: str = "is_header") -> DataFrame:
-    """True on the first row of each run of equal values."""
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*order)
-    return df.withColumn(out, ~F.col(col).eqNullSafe(F.lag(col).over(w)) | (F.row_number().over(w) == 1))
+def _block(order: list[str], size: int) -> Column:
+    return F.floor(F.col(order[0]) / F.lit(size))
+
+
+def carried(df: DataFrame, by: list[str], order: list[str], col: str, out: str, block: int | None = None) -> DataFrame:
+    """The last non-null value up to here.
+
+    With ``block`` (rows are scanned in blocks of that many units of the first, numeric
+    order column) a group of any size is shared out: each block is scanned by itself, and
+    only one row a block carries its last value on."""
+    if block is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.last(col, ignorenulls=True).over(w))
+    df = df.withColumn("__lk_b", _block(order, block))
+    w = Window.partitionBy(*by, "__lk_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    ends = df.where(F.col(col).isNotNull()).groupBy(*by, "__lk_b").agg(F.max_by(col, F.struct(*order)).alias("__lk_end"))
+    before = Window.partitionBy(*by).orderBy("__lk_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.select(*by, "__lk_b").distinct().join(ends, [*by, "__lk_b"], "left").withColumn(
+        "__lk_before", F.last("__lk_end", ignorenulls=True).over(before)).drop("__lk_end")
+    return df.withColumn(out, F.last(col, ignorenulls=True).over(w)).join(blocks, [*by, "__lk_b"]).withColumn(
+        out, F.coalesce(out, "__lk_before")).drop("__lk_b", "__lk_before")
+
+
+def islands(
+    df: DataFrame, by: list[str], order: list[str], starts: Column, out: str = "island", block: int | None = None
+) -> DataFrame:
+    """Number of the run a row belongs to; a run begins where ``starts`` holds (0: before the
+    first). ``block``: as in ``carried``; a block passes on the number of its starts."""
+    df = df.withColumn("__lk_s", F.when(starts, 1).otherwise(0))
+    if block is None:
+        w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, F.sum("__lk_s").over(w)).drop("__lk_s")
+    df = df.withColumn("__lk_b", _block(order, block))
+    w = Window.partitionBy(*by, "__lk_b").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*by).orderBy("__lk_b").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = df.groupBy(*by, "__lk_b").agg(F.sum("__lk_s").alias("__lk_n")).withColumn(
+        "__lk_before", F.coalesce(F.sum("__lk_n").over(before), F.lit(0))).drop("__lk_n")
+    return df.withColumn(out, F.sum("__lk_s").over(w)).join(blocks, [*by, "__lk_b"]).withColumn(
+        out, F.col(out) + F.col("__lk_before")).drop("__lk_b", "__lk_before", "__lk_s")
+
+
+def changed(
+    df: DataFrame, by: list[str], order: list[str], col: str, out: str = "is_header", block: int | None = None
+) -> DataFrame:
+    """True on the first row of each run of equal values. ``block``: as in ``carried``; a
+    block passes on its last value, null or not."""
+    if block is None:
+        w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))).orderBy(*order)
+        return df.withColumn(out, ~F.col(col).eqNullSafe(F.lag(col).over(w)) | (F.row_number().over(w) == 1))
+    df = df.withColumn("__lk_b", _block(order, block))
+    w = Window.partitionBy(*by, "__lk_b").orderBy(*order)
+    last = F.struct(F.col(col).alias("v"))
+    blocks = df.groupBy(*by, "__lk_b").agg(F.max_by(last, F.struct(*order)).alias("__lk_end")).withColumn(
+        "__lk_before", F.lag("__lk_end").over(Window.partitionBy(*by).orderBy("__lk_b"))).drop("__lk_end")
+    rows = df.withColumn("__lk_prev", F.lag(last).over(w)).join(blocks, [*by, "__lk_b"])
+    prev = F.coalesce("__lk_prev", "__lk_before")
+    return rows.withColumn(out, prev.isNull() | ~F.col(col).eqNullSafe(prev["v"])).drop(
+        "__lk_b", "__lk_prev", "__lk_before")
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, n: int) -> DataFrame:

@@ -641,9 +641,9 @@ string_agg(line_text, ' ' ORDER BY line_number, id) AS segment_text FROM i WHERE
 def q26_sessionize(c: Corpus) -> DataFrame:
     """Runs of lines under one speaker, lines before the first dropped."""
     order = ["line_number", "id"]
-    rows = tables.changed(c.lines, ["book_id"], order, "speaker", "new")
-    rows = tables.islands(rows, ["book_id"], order, F.col("new") & F.col("speaker").isNotNull())
-    rows = tables.carried(rows, ["book_id"], order, "speaker", "carried")
+    rows = tables.changed(c.lines, ["book_id"], order, "speaker", "new", block=10_000)
+    rows = tables.islands(rows, ["book_id"], order, F.col("new") & F.col("speaker").isNotNull(), block=10_000)
+    rows = tables.carried(rows, ["book_id"], order, "speaker", "carried", block=10_000)
     pos = F.struct("line_number", "id")
     return rows.where("island > 0").groupBy("book_id", "island").agg(
         F.min("carried").alias("speaker"), F.min_by("line_number", pos).alias("start_line"),

@@ -175,6 +175,21 @@ def test_nearest_and_band_against_brute_force(spark):
         assert "Cartesian" not in plan(df) and "NestedLoop" not in plan(df)
 
 
+@pytest.mark.parametrize("block", [1, 7, 1000])
+def test_scans_in_blocks_equal_scans_in_one(spark, block):
+    random.seed(10)
+    rows = [(random.choice("ab"), i, random.choice([None, None, "x", "y"])) for i in random.sample(range(300), 150)]
+    df = spark.createDataFrame(rows, "k string, pos int, v string")
+    flag = F.coalesce(F.col("v") == "x", F.lit(False))
+    for f in (
+        lambda b: tables.carried(df, ["k"], ["pos"], "v", "o", block=b),
+        lambda b: tables.islands(df, ["k"], ["pos"], flag, "o", block=b),
+        lambda b: tables.changed(df, ["k"], ["pos"], "v", "o", block=b),
+    ):
+        one, many = ({(r.k, r.pos): (r.v, r.o) for r in f(b).collect()} for b in (None, block))
+        assert one == many and len(one) == 150
+
+
 def test_writers(spark):
     a = spark.createDataFrame([("x", 1, "a1"), ("y", 2, "a2"), ("x", 0, "a0")], "k string, pos int, v string")
     b = spark.createDataFrame([("x", 1, "b1"), ("z", 1, "b2")], "k string, pos int, v string")
