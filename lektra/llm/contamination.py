@@ -3,8 +3,9 @@
 The words of all test items (case, accents, apostrophes and layout removed) form
 one suffix automaton per block of ``BLOCK_WORDS`` words, so a block's size does
 not depend on the number of items. Documents stream through it and the longest
-matching length is tracked at every word. Where a match of at least ``SEED``
-words ends, or the set of items it occurs in shrinks, its occurrences are noted.
+matching length is tracked at every word. Every occurrence of at least ``SEED``
+matching words is noted where it ends, those of shorter matches inside a longer
+one too.
 
 An exact check follows for a document and an item with enough notes: their exact
 common runs are chained in order over small gaps into stretches. A document
@@ -81,7 +82,13 @@ class Automaton:
             if up > 0 and self.length[up] >= SEED:
                 ends[up] += ends[s]
         self.ends = [e if self.length[s] >= SEED else [] for s, e in enumerate(ends)]
-        self.size = [len(e) for e in self.ends]
+        # occurrences of the last SEED, and SEED + 1, words of a state
+        self.at_seed, self.past_seed = ([0] * len(self.length) for _ in range(2))
+        for s in reversed(order):
+            up = self.link[s]
+            for least, count in ((SEED, self.at_seed), (SEED + 1, self.past_seed)):
+                if self.length[s] >= least:
+                    count[s] = count[up] if self.length[up] >= least else len(self.ends[s])
         self.table = np.zeros(1 << _BITS, dtype=bool)
         for ids in self.words:
             codes = self._codes(np.array(ids, dtype=np.int64))
@@ -158,7 +165,8 @@ class Automaton:
         return found
 
     def _stream(self, ids: list[int], lo: int, hi: int, found: dict) -> None:
-        nxt, link, length, size = self.next, self.link, self.length, self.size
+        nxt, link, length = self.next, self.link, self.length
+        at_seed, past_seed = self.at_seed, self.past_seed
         s, l = 0, 0
         for k in range(lo, hi):
             c = ids[k]
@@ -171,19 +179,22 @@ class Automaton:
                 s, l = 0, 0
             else:
                 s, l = t, l + 1
-            if old_l >= SEED and (l != old_l + 1 or size[s] < size[old]):
-                self._note(old, old_l, k - 1, found)
+            # occurrences of the last SEED words that do not go on with this word
+            if old_l >= SEED and (past_seed[s] if l > SEED else 0) < at_seed[old]:
+                self._note(old, old_l, k - 1, c, found)
         if l >= SEED:
-            self._note(s, l, hi - 1, found)
+            self._note(s, l, hi - 1, 0, found)
 
-    def _note(self, s: int, l: int, end: int, found: dict) -> None:
-        length = self.length
+    def _note(self, s: int, l: int, end: int, c: int, found: dict) -> None:
+        """Notes the occurrences that ``c`` does not follow, shorter matches by the suffix links too."""
+        length, words = self.length, self.words
         seen = set()
         while s > 0 and length[s] >= SEED:
             for n, p in self.ends[s]:
                 if (n, p) not in seen:
                     seen.add((n, p))
-                    found.setdefault(n, {})[end - p, end] = l
+                    if p + 1 == len(words[n]) or words[n][p + 1] != c:
+                        found.setdefault(n, {})[end - p, end] = l
             s = self.link[s]
             l = length[s] if s > 0 else 0
 
