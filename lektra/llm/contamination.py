@@ -9,8 +9,9 @@ one too.
 
 An exact check follows for a document and an item with enough notes: their exact
 common runs are chained in order over small gaps into stretches. A document
-leaks an item if one stretch has ``MIN_WORDS`` matched words, or two stretches
-close together have them between them. Leaked spans can be removed.
+leaks an item if a dense stretch has ``MIN_WORDS`` matched words, whatever is
+chained to it, or two stretches close together have them between them, with other
+words put in, left out or both between the two. Leaked spans can be removed.
 
 Defined cases: null texts count as empty; items of fewer than ``MIN_WORDS``
 words cannot leak; repeated items and documents are each their own; ties between
@@ -21,7 +22,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from bisect import bisect_left, bisect_right
+from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +43,8 @@ GAP = 4
 FAR_DOC, FAR_ITEM = 40, 40
 #: matched words to the length of a stretch; stock phrases chained by chance are sparser
 DENSE, DENSE_TWO = 0.78, 0.9
-LEAST_OF_TWO = 8
+#: words of the lesser of two stretches; of one under PLAIN words, other items must not have it as stock wording
+LEAST_OF_TWO, PLAIN = 5, 8
 BLOCK_WORDS = 200_000
 
 # apostrophes, marks and invisible characters within words; a hyphen only where a line breaks
@@ -236,6 +240,19 @@ class Automaton:
             self.runs_of[n] = out
         return self.runs_of[n]
 
+    def holders(self, words: list[int]) -> set[int]:
+        """Items that hold these words (SEED or more), one after the other."""
+        s = 0
+        for w in words:
+            s = self.next[s][w]
+        return {n for n, _ in self.ends[s]}
+
+    def stock(self, n: int, short: tuple, long: tuple) -> bool:
+        """Whether an item has the words of a short stretch without those of the long one next to it."""
+        ids = self.words[n]
+        near = ids[long[4] - LEAST_OF_TWO:long[4]] if long[3] < short[3] else ids[long[3]:long[3] + LEAST_OF_TWO]
+        return not self.holders(ids[short[3]:short[4]]) <= self.holders(near)
+
     def exact_runs(self, ids: list[int], n: int, lo: int, hi: int) -> list[tuple[int, int, int]]:
         """Maximal common runs of three words and more: (document, item, length)."""
         get = self.trigrams(n).get
@@ -257,50 +274,63 @@ class Automaton:
 
 
 def chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int]]:
-    """Best stretch ending with each run: (matched words, document first, end, item first, end)."""
-    n = len(runs)
-    score, words = [0.0] * n, [0] * n
-    start = list(range(n))
-    for b, (d, i, l) in enumerate(runs):
-        score[b], words[b] = l, l
-        for a in range(b - 1, -1, -1):
-            d0, i0, l0 = runs[a]
-            if d - d0 > 500:
+    """Stretches from each run to each run that follows it over small gaps, with the most
+    matched words: (matched words, document first, end, item first, end)."""
+    after: list[list[tuple[int, int]]] = []
+    for a, (d0, i0, l0) in enumerate(runs):
+        to = []
+        for b in range(a + 1, len(runs)):
+            d, i, l = runs[b]
+            if d > d0 + l0 + GAP:
                 break
             over = max(0, d0 + l0 - d, i0 + l0 - i)
-            if over >= l:
-                continue
-            gd, gi = d + over - d0 - l0, i + over - i0 - l0
-            if 0 <= gd <= GAP and 0 <= gi <= GAP:
-                v = score[a] + l - over - 0.5 * max(gd, gi)
-                if v > score[b]:
-                    score[b], words[b], start[b] = v, words[a] + l - over, start[a]
-    return [
-        (words[b], runs[start[b]][0], runs[b][0] + runs[b][2], runs[start[b]][1], runs[b][1] + runs[b][2])
-        for b in range(n)
-    ]
+            if over < l and d + over - d0 - l0 <= GAP and i + over - i0 - l0 <= GAP:
+                to.append((b, l - over))
+        after.append(to)
+    out = []
+    for a, (d0, i0, l0) in enumerate(runs):
+        most, b, last = {a: l0}, a, a
+        while b <= last:
+            if b in most:
+                d, i, l = runs[b]
+                out.append((most[b], d0, d + l, i0, i + l))
+                for c, more in after[b]:
+                    if most[b] + more > most.get(c, 0):
+                        most[c] = most[b] + more
+                        last = max(last, c)
+            b += 1
+    return out
 
 
-def leak(stretches: list[tuple[int, int, int, int, int]]) -> tuple[int, list[tuple[int, int]]] | None:
-    """Matched words and document word spans of a leak, or None."""
-    if not stretches:
-        return None
+def leak(
+    stretches: list[tuple[int, int, int, int, int]], stock: Callable[[tuple, tuple], bool] = lambda short, long: False,
+) -> tuple[int, list[tuple[int, int]]] | None:
+    """Matched words and document word spans of a leak, or None; ``stock`` tells whether a
+    short stretch beside a long one is stock wording."""
     wide = lambda s: max(s[2] - s[1], s[4] - s[3])
-    best = max((s for s in stretches if s[0] >= DENSE * wide(s)), key=lambda s: s[0], default=None)
     # of a stretch of MIN_WORDS words one in ten may be changed
-    if best and (best[0] >= MIN_WORDS or wide(best) >= MIN_WORDS and best[0] >= DENSE_TWO * wide(best)):
+    whole = [
+        s for s in stretches
+        if s[0] >= MIN_WORDS and s[0] >= DENSE * wide(s) or wide(s) >= MIN_WORDS and s[0] >= DENSE_TWO * wide(s)
+    ]
+    if whole:
+        best = max(whole, key=lambda s: s[0])
         return best[0], [(best[1], best[2])]
-    half = [s for s in stretches if s[0] >= LEAST_OF_TWO]
-    top = None
+    # two that are dense together: each has fewer than MIN_WORDS words, so it cannot make up for more than this
+    slack = (1 - DENSE_TWO) * MIN_WORDS / DENSE
+    half = sorted(
+        (s for s in stretches if s[0] >= LEAST_OF_TWO and s[0] + slack >= DENSE_TWO * wide(s)), key=lambda s: s[1])
+    top, firsts = None, [s[1] for s in half]
     for a in half:
-        for b in half:
-            gd, gi = b[1] - a[2], b[3] - a[4]
-            if gd < 0 or gi < -2:
+        for b in half[bisect_left(firsts, a[2]):bisect_right(firsts, a[2] + FAR_DOC)]:
+            gi = b[3] - a[4]
+            if not -2 <= gi <= FAR_ITEM:
                 continue
             total = a[0] + b[0] + min(gi, 0)
-            put_in = gd <= FAR_DOC and gi <= GAP
-            left_out = gd <= GAP and gi <= FAR_ITEM
-            if total >= max(MIN_WORDS, DENSE_TWO * (wide(a) + wide(b))) and (put_in or left_out) and (top is None or total > top[0]):
+            if total < max(MIN_WORDS, DENSE_TWO * (wide(a) + wide(b))) or top and total <= top[0]:
+                continue
+            short, long = (a, b) if a[0] < b[0] else (b, a)
+            if short[0] >= PLAIN or not stock(short, long):
                 top = total, [(a[1], a[2]), (b[1], b[2])]
     return top
 
@@ -314,7 +344,7 @@ def find(automata: list[Automaton], text: str) -> list[tuple[int, int, list[tupl
         notes = a.notes(ids, np.array(ids, dtype=np.int64))
         best: dict[int, tuple[int, list]] = {}
         for n, lo, hi in a.candidates(notes):
-            got = leak(chain(a.exact_runs(ids, n, lo, hi)))
+            got = leak(chain(a.exact_runs(ids, n, lo, hi)), partial(a.stock, n))
             if got and (n not in best or got[0] > best[n][0]):
                 best[n] = got
         out += [(a.items[n], w, spans) for n, (w, spans) in sorted(best.items())]

@@ -51,3 +51,36 @@ def test_notes_are_the_maximal_common_runs():
                     if l >= contamination.SEED:
                         want.add((n, d - i, d + l - 1, l))
         assert got == want
+
+
+ITEM = numbered(60)
+OTHER = numbered(40, "z") + ITEM[30:36]
+
+
+def test_two_stretches_with_other_words_between_them():
+    put = numbered(10, "x")
+    assert found([ITEM], ITEM[5:20] + put + ITEM[30:45]) == {0}
+    assert found([ITEM], ITEM[5:15] + numbered(40, "x") + ITEM[55:60] + put) == set()  # 15 words
+    assert found([ITEM], ITEM[:12] + numbered(30, "x") + ITEM[42:52]) == {0}
+    assert found([ITEM], ITEM[:12] + numbered(50, "x") + ITEM[42:52]) == set()  # too far
+    assert found([ITEM], ITEM[42:52] + put + ITEM[:12]) == set()  # not in order
+
+
+def test_a_short_part_beside_a_long_one_counts_unless_it_is_stock_wording():
+    put = numbered(10, "x")
+    assert found([ITEM], ITEM[:19] + put + ITEM[19:26]) == {0}
+    assert found([ITEM], ITEM[:7] + put + ITEM[7:26]) == {0}
+    assert found([ITEM], ITEM[:16] + put + ITEM[30:35]) == {0}
+    assert found([ITEM, OTHER], ITEM[:16] + put + ITEM[30:35]) == set()
+    # an item that shares the passage does not make it stock wording
+    assert found([ITEM, numbered(9, "z") + ITEM[5:45]], ITEM[:16] + put + ITEM[30:35]) >= {0}
+
+
+def test_a_dense_run_counts_whatever_is_chained_to_it():
+    run = ITEM[20:42]
+    assert found([ITEM], run) == {0}
+    doc = ITEM[6:9] + numbered(4, "x") + ITEM[13:16] + numbered(4, "y") + run
+    assert found([ITEM], doc) == {0}
+    a = automaton(ITEM)
+    # 25 of 29 words; with the first match it would be 28 of 36, under DENSE
+    assert contamination.leak(contamination.chain(a.exact_runs(a.numbers(doc), 0, 0, len(doc)))) == (25, [(7, 36)])
