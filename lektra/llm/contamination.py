@@ -7,8 +7,8 @@ matching length is tracked at every word. Every occurrence of at least ``SEED``
 matching words is noted where it ends, those of shorter matches inside a longer
 one too.
 
-An exact check follows for a document and an item with enough notes: their exact
-common runs are chained in order over small gaps into stretches. A document
+So the notes of a document and an item are their maximal common runs; where they
+cover words enough for a leak they are chained in order over small gaps into stretches. A document
 leaks an item if a dense stretch has ``MIN_WORDS`` matched words, whatever is
 chained to it, or two stretches close together have them between them, with other
 words put in, left out or both between the two. Leaked spans can be removed.
@@ -20,6 +20,7 @@ stretches go to the first; the length of a document does not matter.
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
@@ -33,10 +34,8 @@ from pyspark.sql import types as T
 
 from lektra.llm.batches import expand
 
-SEED = 5
+SEED = 3
 MIN_WORDS = 20
-#: a match, or two together, of so many words make a pair worth the exact check
-LONE = 9
 #: words changed, left out or put in between two runs of a stretch
 GAP = 4
 #: words between two stretches: in the document, and in the item when some are left out
@@ -45,6 +44,8 @@ FAR_DOC, FAR_ITEM = 40, 40
 DENSE, DENSE_TWO = 0.78, 0.9
 #: words of the lesser of two stretches; of one under PLAIN words, other items must not have it as stock wording
 LEAST_OF_TWO, PLAIN = 5, 8
+#: no leak has fewer matched words
+LEAST = math.ceil(min(MIN_WORDS, DENSE_TWO * MIN_WORDS))
 BLOCK_WORDS = 200_000
 
 # apostrophes, marks and invisible characters within words; a hyphen only where a line breaks
@@ -74,12 +75,13 @@ class Automaton:
         self.memo: dict[str, int] = {}
         self.next: list[dict[int, int]] = [{}]
         self.link, self.length = [-1], [0]
-        ends: list[list[tuple[int, int]]] = [[]]
+        ends: list[list[tuple[int, int, int]]] = [[]]
         for n, ids in enumerate(self.words):
             last = 0
-            for p, c in enumerate(ids):
+            # each occurrence: item, position of its end, the word that follows (-1 at the end)
+            for p, (c, then) in enumerate(zip(ids, [*ids[1:], -1])):
                 last = self._extend(last, c, ends)
-                ends[last].append((n, p))
+                ends[last].append((n, p, then))
         order = sorted(range(1, len(self.length)), key=lambda s: -self.length[s])
         for s in order:
             up = self.link[s]
@@ -191,46 +193,41 @@ class Automaton:
 
     def _note(self, s: int, l: int, end: int, c: int, found: dict) -> None:
         """Notes the occurrences that ``c`` does not follow, shorter matches by the suffix links too."""
-        length, words = self.length, self.words
-        seen = set()
-        while s > 0 and length[s] >= SEED:
-            for n, p in self.ends[s]:
-                if (n, p) not in seen:
-                    seen.add((n, p))
-                    if p + 1 == len(words[n]) or words[n][p + 1] != c:
-                        found.setdefault(n, {})[end - p, end] = l
-            s = self.link[s]
-            l = length[s] if s > 0 else 0
-
-    def candidates(self, found: dict) -> Iterator[tuple[int, int, int]]:
-        """(item number, first, last document word) worth the exact check."""
+        length, link, ends = self.length, self.link, self.ends
+        seen: set = set()
+        while True:
+            up = link[s]
+            more = up > 0 and length[up] >= SEED
+            for x in ends[s]:
+                if x[2] != c and x not in seen:
+                    n, p, _ = x
+                    if n in found:
+                        found[n][end - p, end] = l
+                    else:
+                        found[n] = {(end - p, end): l}
+            if not more:
+                return
+            seen.update(ends[s])
+            s, l = up, length[up]
+
+    def candidates(self, found: dict) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+        """Item number and common runs, (document, item, length), of every place with words enough for a leak."""
         for n, notes in found.items():
-            if len(self.words[n]) < MIN_WORDS:
+            if len(self.words[n]) < MIN_WORDS or sum(notes.values()) < LEAST:
                 continue
-            size = len(self.words[n])
-            ordered = sorted((diag, end, l) for (diag, end), l in notes.items())
-            # notes on far diagonals are judged apart
-            at = 0
-            while at < len(ordered):
-                to = at + 1
-                while to < len(ordered) and ordered[to][0] - ordered[to - 1][0] <= FAR_DOC:
-                    to += 1
-                part = ordered[at:to]
-                if max(x[2] for x in part) >= LONE or self._pair(part):
-                    yield n, part[0][0] - FAR_ITEM, part[-1][0] + size + FAR_ITEM
-                at = to
-
-    @staticmethod
-    def _pair(part: list[tuple[int, int, int]]) -> bool:
-        """Two matches on near diagonals, one after the other, that make up LONE words and more."""
-        for j, (d1, e1, l1) in enumerate(part):
-            for d2, e2, l2 in part[j + 1:]:
-                if d2 - d1 > 2 * GAP:
-                    break
-                apart = max(e1 - l1, e2 - l2) - min(e1, e2)
-                if -2 <= apart <= FAR_DOC and l1 + l2 + min(apart, 0) > LONE:
-                    return True
-        return False
+            runs = sorted((end - l + 1, end - l + 1 - diag, l) for (diag, end), l in notes.items())
+            at, to, covered = 0, 0, 0
+            for k, (d, _, l) in enumerate(runs):
+                # nothing is chained or paired over more words
+                if k and d - to > FAR_DOC:
+                    if covered >= LEAST:
+                        yield n, runs[at:k]
+                    at, covered = k, 0
+                if d + l > to:
+                    covered += d + l - (d if d > to else to)
+                    to = d + l
+            if covered >= LEAST:
+                yield n, runs[at:]
 
     def trigrams(self, n: int) -> dict[tuple[int, int, int], list[int]]:
         if n not in self.runs_of:
@@ -245,7 +242,7 @@ class Automaton:
         s = 0
         for w in words:
             s = self.next[s][w]
-        return {n for n, _ in self.ends[s]}
+        return {n for n, _, _ in self.ends[s]}
 
     def stock(self, n: int, short: tuple, long: tuple) -> bool:
         """Whether an item has the words of a short stretch without those of the long one next to it."""
@@ -278,17 +275,22 @@ def chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, in
     matched words: (matched words, document first, end, item first, end)."""
     after: list[list[tuple[int, int]]] = []
     for a, (d0, i0, l0) in enumerate(runs):
-        to = []
+        to, d1, i1 = [], d0 + l0, i0 + l0
         for b in range(a + 1, len(runs)):
             d, i, l = runs[b]
-            if d > d0 + l0 + GAP:
+            if d > d1 + GAP:
                 break
-            over = max(0, d0 + l0 - d, i0 + l0 - i)
-            if over < l and d + over - d0 - l0 <= GAP and i + over - i0 - l0 <= GAP:
+            if i > i1 + GAP or i + l <= i1:
+                continue
+            over = max(0, d1 - d, i1 - i)
+            if over < l and d + over - d1 <= GAP and i + over - i1 <= GAP:
                 to.append((b, l - over))
         after.append(to)
     out = []
     for a, (d0, i0, l0) in enumerate(runs):
+        if not after[a]:
+            out.append((l0, d0, d0 + l0, i0, i0 + l0))
+            continue
         most, b, last = {a: l0}, a, a
         while b <= last:
             if b in most:
@@ -311,7 +313,8 @@ def leak(
     # of a stretch of MIN_WORDS words one in ten may be changed
     whole = [
         s for s in stretches
-        if s[0] >= MIN_WORDS and s[0] >= DENSE * wide(s) or wide(s) >= MIN_WORDS and s[0] >= DENSE_TWO * wide(s)
+        if s[0] >= LEAST and (
+            s[0] >= MIN_WORDS and s[0] >= DENSE * wide(s) or wide(s) >= MIN_WORDS and s[0] >= DENSE_TWO * wide(s))
     ]
     if whole:
         best = max(whole, key=lambda s: s[0])
@@ -343,8 +346,8 @@ def find(automata: list[Automaton], text: str) -> list[tuple[int, int, list[tupl
         ids = a.numbers(words)
         notes = a.notes(ids, np.array(ids, dtype=np.int64))
         best: dict[int, tuple[int, list]] = {}
-        for n, lo, hi in a.candidates(notes):
-            got = leak(chain(a.exact_runs(ids, n, lo, hi)), partial(a.stock, n))
+        for n, runs in a.candidates(notes):
+            got = leak(chain(runs), partial(a.stock, n))
             if got and (n not in best or got[0] > best[n][0]):
                 best[n] = got
         out += [(a.items[n], w, spans) for n, (w, spans) in sorted(best.items())]

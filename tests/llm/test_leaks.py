@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow.parquet as pq
 
 from lektra.llm import contamination
 
@@ -84,3 +85,69 @@ def test_a_dense_run_counts_whatever_is_chained_to_it():
     a = automaton(ITEM)
     # 25 of 29 words; with the first match it would be 28 of 36, under DENSE
     assert contamination.leak(contamination.chain(a.exact_runs(a.numbers(doc), 0, 0, len(doc)))) == (25, [(7, 36)])
+
+
+def test_runs_of_three_and_four_words_make_a_leak():
+    item = numbered(60)
+
+    def doc(*sizes):
+        out, at = numbered(8, "x"), 10
+        for k, n in enumerate(sizes):
+            out += item[at:at + n] + [f"y{k}"]
+            at += n + 1
+        return out + numbered(8, "z")
+
+    assert found([item], doc(8, 4, 4, 4)) == {0}  # 20 of 23
+    assert found([item], doc(4, 4, 4, 4, 4)) == {0}  # 20 of 24
+    assert found([item], doc(4, 4, 3, 3, 3, 3)) == {0}  # 20 of 25
+    assert found([item], doc(3, 3, 3, 3, 3, 3, 3)) == set()  # 21 of 27, under DENSE
+    assert found([item], doc(5, 5, 5)) == set()
+
+
+def test_nothing_that_the_check_of_all_pairs_finds_is_lost():
+    rnd = random.Random(5)
+    vocab = numbered(200)
+    items = [[rnd.choice(vocab) for _ in range(40)] for _ in range(8)]
+    for k in range(1, 8):  # shared pieces
+        items[k][5:5 + k] = items[0][5:5 + k]
+    docs = []
+    for _ in range(150):
+        at, item = rnd.randint(0, 12), rnd.choice(items)
+        part = [w for w in item[at:at + rnd.randint(18, 34)] if rnd.random() > 0.05]
+        part = [rnd.choice(vocab) if rnd.random() < 0.15 else w for w in part]
+        cut = rnd.randint(0, len(part))
+        docs.append(numbered(9, "x") + part[:cut] + numbered(rnd.choice([0, 0, 3, 12]), "y") + part[cut:])
+    a, both = automaton(*items), 0
+    for doc in docs:
+        ids = a.numbers(doc)
+        want = {
+            n for n in range(len(items))
+            if contamination.leak(contamination.chain(a.exact_runs(ids, n, 0, len(ids))), lambda s, l: a.stock(n, s, l))}
+        assert found(items, doc) == want
+        both += len(want)
+    assert both > 30
+
+
+def test_nothing_is_lost_on_a_test_table():
+    rows = {t: pq.read_table(f"/root/testdata/sf0.001/{t}.parquet").to_pylist() for t in ("eval_passages", "documents")}
+    a = contamination.build((r["item_id"], r["text"]) for r in rows["eval_passages"])[0]
+    for r in rows["documents"]:
+        ids = a.numbers(contamination.WORD.findall(r["text"] or ""))
+        want = {
+            a.items[n] for n in range(len(a.items))
+            if contamination.leak(contamination.chain(a.exact_runs(ids, n, 0, len(ids))), lambda s, l: a.stock(n, s, l))}
+        assert {n for n, _, _ in contamination.find([a], r["text"] or "")} == want
+
+
+def test_an_item_that_ends_before_an_unknown_word_is_noted():
+    item = numbered(25)
+    other = item[:20] + numbered(5, "o")
+    for doc in (item + ["?"] + item[:6], item[3:] + ["?"] + other[12:] + ["?"], other + ["?"] + item):
+        want = {n for n, it in enumerate((item, other)) if any(it[k:k + 20] == doc[d:d + 20] for k in range(6) for d in range(len(doc) - 19))}
+        assert found([item, other], doc) == want
+        a = automaton(item, other)
+        ids = a.numbers(doc)
+        notes = a.notes(ids, np.array(ids))
+        for n in range(2):
+            runs = {(e - l + 1, e - l + 1 - g, l) for (g, e), l in notes.get(n, {}).items()}
+            assert runs == set(a.exact_runs(ids, n, 0, len(ids)))
