@@ -248,6 +248,30 @@ def _viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
     return out
 
 
+def _weights(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Weight of each unit: a short foreign phrase says nothing about the language around it,
+    but neighbouring short units of one language that are more than a phrase together do."""
+    short = sizes <= SHORT_RUN
+    weights = np.where(short, 0.25, 1.0)
+    if sizes.sum() <= 2 * SHORT_RUN:
+        weights[:] = 1.0
+        return weights
+    top = scores.argmax(axis=1) if len(scores) else short
+    run, lang, words, last = [], -1, 0, -2
+    for i in [*np.flatnonzero(short).tolist(), len(sizes) + 1]:
+        end = i != last + 1
+        if end or sizes[i] and run and top[i] != lang:
+            if words > SHORT_RUN:
+                weights[run] = 1.0
+            run, words = [], 0
+        last = i
+        # units without words part nothing
+        if i < len(sizes) and sizes[i]:
+            run.append(i)
+            lang, words = top[i], words + int(sizes[i])
+    return weights
+
+
 def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     """Stretches (start, end, language, confidence) of every text, in order."""
     cut = [units(t) for t in texts]
@@ -275,9 +299,7 @@ def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
         unit_of.append(unit[at:at + len(us)])
         size_of.append(size[at:at + len(us)])
         at += len(us)
-    # a short foreign phrase says nothing about the language around it
-    seen = [np.where((z > SHORT_RUN)[:, None] | (z.sum() <= 2 * SHORT_RUN), u, u * 0.25) for u, z in zip(unit_of, size_of)]
-    paths = _viterbi(seen)
+    paths = _viterbi([u * _weights(u, z)[:, None] for u, z in zip(unit_of, size_of)])
     out = []
     for t, us, u, z, path in zip(texts, cut, unit_of, size_of, paths):
         if not us or not z.sum():
