@@ -274,3 +274,45 @@ def visible_segments(c: Corpus, start: int, end: int) -> DataFrame:
     s = s.withColumn("lo", F.greatest("start_line", F.lit(start))).withColumn("hi", hi)
     return tables.band_join(page, s, ["book_id"], "line_number", "lo", "hi", 100).groupBy("segment_id", "book_id").agg(
         F.count(F.lit(1)).alias("visible_lines"), F.min("line_number").alias("first_visible"))
+
+
+# --- all pages
+
+PAGE = ["book_id", "range_start", "range_end"]
+
+
+def pages(c: Corpus) -> DataFrame:
+    """The page ranges of every book."""
+    return tables.page_ranges(c.lines.groupBy("book_id").agg(F.max("line_number").alias("total")), "total")
+
+
+def page_lines(c: Corpus) -> DataFrame:
+    """Every line with the range of its page."""
+    return tables.band_join(c.lines, pages(c).select(*PAGE), ["book_id"], "line_number", "range_start", "range_end", 100)
+
+
+def page_translations(c: Corpus) -> DataFrame:
+    """Segments that meet a page, by their own numbers or by the lookup, for every page."""
+    s = c.segments.select("id", "book_id", "start_line", "end_line")
+    total = c.lines.groupBy("book_id").agg(F.max("line_number").alias("total"))
+    start, end = F.col("range_start"), F.least(F.col("range_start") + 99, F.col("total"))
+    first, _ = tables.page_of(F.greatest("start_line", F.lit(1)))
+    last, _ = tables.page_of(F.least(F.coalesce("end_line", "total"), F.col("total")))
+    own = s.where("start_line IS NOT NULL").join(total, "book_id").where(first <= last).withColumn(
+        "range_start", F.explode(F.sequence(first, last, F.lit(100)))).withColumn("range_end", end).where(
+        tables.overlaps(F.col("start_line"), F.col("end_line"), start, F.col("range_end")))
+    linked = tables.band_join(
+        c.lookup, pages(c).select(*PAGE), ["book_id"], "line_number", "range_start", "range_end", 100
+    ).select(F.col("segment_id").alias("id"), *PAGE).distinct()
+    cols = ["id", "start_line", "end_line", *PAGE]
+    return own.select(*cols).unionByName(s.join(linked, ["id", "book_id"]).select(*cols)).distinct()
+
+
+def page_visible_segments(c: Corpus) -> DataFrame:
+    """Segments with the lines of every page they cover; those with none are dropped."""
+    lines = c.lines.select("book_id", "line_number").distinct()
+    s = page_translations(c).withColumn("lo", F.greatest("start_line", "range_start")).withColumn(
+        "hi", F.least(F.coalesce("end_line", "range_end"), F.col("range_end"))).withColumnRenamed("id", "segment_id")
+    return tables.band_join(lines, s, ["book_id"], "line_number", "lo", "hi", 100).groupBy(
+        "segment_id", "book_id", "range_start").agg(
+        F.count(F.lit(1)).alias("visible_lines"), F.min("line_number").alias("first_visible"))

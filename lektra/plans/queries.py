@@ -248,6 +248,36 @@ def q09_visible(c: Corpus) -> DataFrame:
     return corpus.visible_segments(c, 31, 60)
 
 
+_PAGES = """pg AS (SELECT book_id, CAST(range_start AS INTEGER) AS range_start, CAST(least(range_start + 99, total) AS INTEGER) AS range_end
+  FROM (SELECT book_id, total, unnest(range(1, total + 1, 100)) AS range_start
+    FROM (SELECT book_id, max(line_number) AS total FROM text_lines GROUP BY 1)))"""
+_PAGE_SEGMENTS = f"""{_LOOKUP}, {_PAGES},
+ps AS (SELECT DISTINCT s.id, s.book_id, start_line, end_line, range_start, range_end FROM translation_segments s JOIN pg ON s.book_id = pg.book_id
+  WHERE EXISTS (SELECT 1 FROM lk WHERE lk.segment_id = s.id AND lk.book_id = s.book_id AND lk.line_number BETWEEN range_start AND range_end)
+   OR (start_line <= range_end AND (end_line IS NULL OR end_line >= range_start)))"""
+
+
+@query(f"""WITH {_PAGES} SELECT id, t.book_id, range_start, line_number, line_text, speaker
+FROM text_lines t JOIN pg ON t.book_id = pg.book_id AND line_number BETWEEN range_start AND range_end""")
+def q08_text_pages(c: Corpus) -> DataFrame:
+    """All pages of every book."""
+    return corpus.page_lines(c).select("id", "book_id", "range_start", "line_number", "line_text", "speaker")
+
+
+@query(f"WITH {_PAGE_SEGMENTS} SELECT id, book_id, range_start, range_end FROM ps")
+def q09_overlap_pages(c: Corpus) -> DataFrame:
+    """Translations for every page of every book."""
+    return corpus.page_translations(c).select("id", "book_id", "range_start", "range_end")
+
+
+@query(f"""WITH {_PAGE_SEGMENTS}, p AS (SELECT DISTINCT book_id, line_number FROM text_lines)
+SELECT ps.id AS segment_id, ps.book_id, range_start, count(*) AS visible_lines, min(line_number) AS first_visible
+FROM ps JOIN p ON ps.book_id = p.book_id
+  AND line_number BETWEEN greatest(start_line, range_start) AND least(coalesce(end_line, range_end), range_end) GROUP BY 1, 2, 3""")
+def q09_visible_pages(c: Corpus) -> DataFrame:
+    return corpus.page_visible_segments(c)
+
+
 @query("SELECT DISTINCT book_id, translator FROM translation_segments WHERE translator IS NOT NULL")
 def q10_translators(c: Corpus) -> DataFrame:
     return corpus.translators(c)
@@ -609,6 +639,16 @@ def q50_toggle(c: Corpus) -> DataFrame:
         c.lines.where("speaker IS NOT NULL").select(*k).distinct(), c.lines.where("line_number % 2 = 0").select(*k).distinct(), k)
 
 
+@query("""WITH a AS (SELECT DISTINCT book_id, line_number FROM text_lines WHERE speaker IS NOT NULL),
+w AS (SELECT DISTINCT book_id, line_number FROM translation_lookup)
+(SELECT * FROM a EXCEPT SELECT * FROM w) UNION ALL (SELECT * FROM w EXCEPT SELECT * FROM a)""")
+def q50_toggle_linked(c: Corpus) -> DataFrame:
+    """Spoken lines beside the lines that the lookup links."""
+    k = ["book_id", "line_number"]
+    return tables.toggle(
+        c.lines.where("speaker IS NOT NULL").select(*k).distinct(), c.lookup.select(*k).distinct(), k)
+
+
 @query("SELECT DISTINCT split_part(book_id, '.', 1) AS id FROM text_lines WHERE split_part(book_id, '.', 1) IN (SELECT split_part(id, '.', 1) FROM books)")
 def q51_delete_childless(c: Corpus) -> DataFrame:
     """Authors named by lines, without those that have no work."""
