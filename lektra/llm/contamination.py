@@ -11,11 +11,16 @@ So the notes of a document and an item are their maximal common runs; where they
 cover words enough for a leak they are chained in order over small gaps into stretches. A document
 leaks an item if a dense stretch has ``MIN_WORDS`` matched words, whatever is
 chained to it, or two stretches close together have them between them, with other
-words put in, left out or both between the two. Leaked spans can be removed.
+words put in, left out or both between the two.
+
+Leaked spans can be removed: every stretch over the limit of length, what else of
+a leaked item stands dense nearby, and, where asked for (``short``), stretches
+that cover ``COVERAGE`` of an item too short for the limit of length.
 
 Defined cases: null texts count as empty; items of fewer than ``MIN_WORDS``
-words cannot leak; repeated items and documents are each their own; ties between
-stretches go to the first; the length of a document does not matter.
+words leak by coverage only, of fewer than ``PLAIN`` words not at all; repeated
+items and documents are each their own; ties between stretches go to the first;
+the length of a document does not matter.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+import uuid
 from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 from functools import partial
@@ -44,7 +50,9 @@ FAR_DOC, FAR_ITEM = 40, 40
 DENSE, DENSE_TWO = 0.78, 0.9
 #: words of the lesser of two stretches; of one under PLAIN words, other items must not have it as stock wording
 LEAST_OF_TWO, PLAIN = 5, 8
-#: no leak has fewer matched words
+#: share of the words of an item under MIN_WORDS
+COVERAGE = 0.9
+#: no leak by length has fewer matched words
 LEAST = math.ceil(min(MIN_WORDS, DENSE_TWO * MIN_WORDS))
 BLOCK_WORDS = 200_000
 
@@ -210,23 +218,31 @@ class Automaton:
             seen.update(ends[s])
             s, l = up, length[up]
 
-    def candidates(self, found: dict) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    def least(self, n: int, short: bool = False) -> int | None:
+        """Matched words that a leak of an item has at least; None if it cannot leak."""
+        size = len(self.words[n])
+        if size >= MIN_WORDS:
+            return LEAST
+        return math.ceil(COVERAGE * size) if short and size >= PLAIN else None
+
+    def candidates(self, found: dict, short: bool = False) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
         """Item number and common runs, (document, item, length), of every place with words enough for a leak."""
         for n, notes in found.items():
-            if len(self.words[n]) < MIN_WORDS or sum(notes.values()) < LEAST:
+            least = self.least(n, short)
+            if least is None or sum(notes.values()) < least:
                 continue
             runs = sorted((end - l + 1, end - l + 1 - diag, l) for (diag, end), l in notes.items())
             at, to, covered = 0, 0, 0
             for k, (d, _, l) in enumerate(runs):
                 # nothing is chained or paired over more words
                 if k and d - to > FAR_DOC:
-                    if covered >= LEAST:
+                    if covered >= least:
                         yield n, runs[at:k]
                     at, covered = k, 0
                 if d + l > to:
                     covered += d + l - (d if d > to else to)
                     to = d + l
-            if covered >= LEAST:
+            if covered >= least:
                 yield n, runs[at:]
 
     def trigrams(self, n: int) -> dict[tuple[int, int, int], list[int]]:
@@ -304,17 +320,20 @@ def chain(runs: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, in
     return out
 
 
+def _wide(s: tuple) -> int:
+    return max(s[2] - s[1], s[4] - s[3])
+
+
 def leak(
     stretches: list[tuple[int, int, int, int, int]], stock: Callable[[tuple, tuple], bool] = lambda short, long: False,
 ) -> tuple[int, list[tuple[int, int]]] | None:
     """Matched words and document word spans of a leak, or None; ``stock`` tells whether a
     short stretch beside a long one is stock wording."""
-    wide = lambda s: max(s[2] - s[1], s[4] - s[3])
     # of a stretch of MIN_WORDS words one in ten may be changed
     whole = [
         s for s in stretches
         if s[0] >= LEAST and (
-            s[0] >= MIN_WORDS and s[0] >= DENSE * wide(s) or wide(s) >= MIN_WORDS and s[0] >= DENSE_TWO * wide(s))
+            s[0] >= MIN_WORDS and s[0] >= DENSE * _wide(s) or _wide(s) >= MIN_WORDS and s[0] >= DENSE_TWO * _wide(s))
     ]
     if whole:
         best = max(whole, key=lambda s: s[0])
@@ -322,7 +341,7 @@ def leak(
     # two that are dense together: each has fewer than MIN_WORDS words, so it cannot make up for more than this
     slack = (1 - DENSE_TWO) * MIN_WORDS / DENSE
     half = sorted(
-        (s for s in stretches if s[0] >= LEAST_OF_TWO and s[0] + slack >= DENSE_TWO * wide(s)), key=lambda s: s[1])
+        (s for s in stretches if s[0] >= LEAST_OF_TWO and s[0] + slack >= DENSE_TWO * _wide(s)), key=lambda s: s[1])
     top, firsts = None, [s[1] for s in half]
     for a in half:
         for b in half[bisect_left(firsts, a[2]):bisect_right(firsts, a[2] + FAR_DOC)]:
@@ -330,7 +349,7 @@ def leak(
             if not -2 <= gi <= FAR_ITEM:
                 continue
             total = a[0] + b[0] + min(gi, 0)
-            if total < max(MIN_WORDS, DENSE_TWO * (wide(a) + wide(b))) or top and total <= top[0]:
+            if total < max(MIN_WORDS, DENSE_TWO * (_wide(a) + _wide(b))) or top and total <= top[0]:
                 continue
             short, long = (a, b) if a[0] < b[0] else (b, a)
             if short[0] >= PLAIN or not stock(short, long):
@@ -338,7 +357,20 @@ def leak(
     return top
 
 
-def find(automata: list[Automaton], text: str) -> list[tuple[int, int, list[tuple[int, int]]]]:
+def _dense(runs: list[tuple[int, int, int]], least: int) -> tuple[int, list[tuple[int, int]]] | None:
+    """The dense stretch with the most matched words, ``least`` or more."""
+    best = max((s for s in chain(runs) if s[0] >= least and s[0] >= DENSE_TWO * _wide(s)), key=lambda s: s[0], default=None)
+    return best and (best[0], [(best[1], best[2])])
+
+
+def _every(runs: list[tuple[int, int, int]], take: Callable[[list], tuple | None]) -> Iterator[tuple[int, list]]:
+    """What ``take`` finds, again and again in the runs that are left."""
+    while runs and (got := take(runs)):
+        yield got
+        runs = [r for r in runs if not any(r[0] < to and r[0] + r[2] > at for at, to in got[1])]
+
+
+def find(automata: list[Automaton], text: str, short: bool = False) -> list[tuple[int, int, list[tuple[int, int]]]]:
     """(item id, matched words, spans in words) of the items a text leaks."""
     words = WORD.findall(text)
     out = []
@@ -346,11 +378,20 @@ def find(automata: list[Automaton], text: str) -> list[tuple[int, int, list[tupl
         ids = a.numbers(words)
         notes = a.notes(ids, np.array(ids, dtype=np.int64))
         best: dict[int, tuple[int, list]] = {}
-        for n, runs in a.candidates(notes):
-            got = leak(chain(runs), partial(a.stock, n))
-            if got and (n not in best or got[0] > best[n][0]):
-                best[n] = got
-        out += [(a.items[n], w, spans) for n, (w, spans) in sorted(best.items())]
+        for n, runs in a.candidates(notes, short):
+            if len(a.words[n]) >= MIN_WORDS:
+                take = lambda r, n=n: leak(chain(r), partial(a.stock, n))
+            else:
+                take = partial(_dense, least=a.least(n, short))
+            for w, spans in _every(runs, take):
+                most, so_far = best.get(n, (0, []))
+                best[n] = max(w, most), so_far + spans
+        for n, (w, spans) in sorted(best.items()):
+            rest = [
+                r for r in sorted((e - l + 1, e - l + 1 - g, l) for (g, e), l in notes[n].items())
+                if not any(r[0] < to and r[0] + r[2] > at for at, to in spans)]
+            more = [x for _, s in _every(rest, partial(_dense, least=PLAIN)) for x in s]
+            out.append((a.items[n], w, sorted(spans + more)))
     return out
 
 
@@ -379,8 +420,8 @@ LEAKS = [
 ]
 
 
-def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
-    """One row per leaking document and item: matched words and character spans.
+def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame, short: bool = False) -> DataFrame:
+    """One row per leaking document and item: matched words of the best leak and character spans of all.
 
     Items stream to the driver block by block; each block of at most BLOCK_WORDS
     words (or one item) is broadcast and the documents pass it."""
@@ -396,19 +437,32 @@ def leaks(spark: SparkSession, docs: DataFrame, items: DataFrame) -> DataFrame:
         size += n
     blocks.append(spark.sparkContext.broadcast(block))
     for shared in blocks:
-        part = expand(docs, {"doc_id": "doc_id"}, "text", LEAKS, _finder(shared))
+        part = expand(docs, {"doc_id": "doc_id"}, "text", LEAKS, _finder(shared, short))
         out = part if out is None else out.unionByName(part)
     return out
 
 
-def _finder(shared):
+#: automata of the last block in this Python worker, which later tasks use again
+_BUILT: dict[str, list[Automaton]] = {}
+
+
+def _built(name: str, shared) -> list[Automaton]:
+    if name not in _BUILT:
+        _BUILT.clear()
+        _BUILT[name] = build(iter(shared.value))
+    return _BUILT[name]
+
+
+def _finder(shared, short: bool):
+    name = uuid.uuid4().hex
+
     def make():
-        automata = build(iter(shared.value))
+        automata = _built(name, shared)
 
         def run(texts: list[str]) -> tuple[list[int], list[list]]:
             n, cols = [], [[], [], []]
             for text in texts:
-                got = find(automata, text)
+                got = find(automata, text, short)
                 n.append(len(got))
                 at = word_chars(text) if got else []
                 for item, words, spans in got:

@@ -69,8 +69,8 @@ def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return p6_pairs(spark, d).drop("score")
 
 
-def _p7(spark: SparkSession, d: str) -> DataFrame:
-    return contamination.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_passages"))
+def _p7(spark: SparkSession, d: str, short: bool = False) -> DataFrame:
+    return contamination.leaks(spark, table(spark, d, "documents"), table(spark, d, "eval_passages"), short)
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
@@ -84,9 +84,9 @@ def p7_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_clean(spark: SparkSession, d: str) -> DataFrame:
-    """Every document with the leaked spans removed."""
+    """Every document with the leaked spans removed, those of short items too."""
     docs = table(spark, d, "documents").select("doc_id", "text")
-    return contamination.removed(docs, cut(_p7(spark, d)))
+    return contamination.removed(docs, cut(_p7(spark, d, short=True)))
 
 
 def _p8(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:

@@ -151,3 +151,44 @@ def test_an_item_that_ends_before_an_unknown_word_is_noted():
         for n in range(2):
             runs = {(e - l + 1, e - l + 1 - g, l) for (g, e), l in notes.get(n, {}).items()}
             assert runs == set(a.exact_runs(ids, n, 0, len(ids)))
+
+
+def spans_of(items, doc, short=False):
+    return {n: (w, s) for n, w, s in contamination.find([automaton(*items)], " ".join(doc), short)}
+
+
+def test_every_stretch_of_an_item_is_found():
+    fill = numbered(80, "x")
+    assert spans_of([ITEM], ITEM + fill + ITEM[10:50])[0] == (60, [(0, 60), (140, 180)])
+    parts = ITEM[:22] + fill + ITEM[22:40] + numbered(50, "y") + ITEM[40:60]
+    assert spans_of([ITEM], parts)[0] == (22, [(0, 22), (102, 120), (170, 190)])
+    # what is left of a leaked item beside the leak goes with it
+    assert spans_of([ITEM], ITEM[:30] + numbered(6, "x") + ITEM[45:55])[0] == (30, [(0, 30), (36, 46)])
+    assert spans_of([ITEM], ITEM[45:55]) == {}
+
+
+def test_long_runs_and_steady_edits_are_found_whole():
+    item = numbered(1400)
+    doc = item[:600] + ["q"] + item[601:]
+    assert spans_of([item], doc)[0] == (1399, [(0, 1400)])
+    item = numbered(60)
+    assert spans_of([item], ["q" if k % 5 == 4 else w for k, w in enumerate(item)])[0] == (48, [(0, 59)])
+
+
+def test_short_items_leak_by_coverage():
+    item = numbered(12)
+    doc = numbered(5, "x") + item + numbered(5, "y")
+    assert spans_of([item], doc) == {}
+    assert spans_of([item], doc, short=True) == {0: (12, [(5, 17)])}
+    assert spans_of([item], doc[:14], short=True) == {}  # 9 of 12
+    assert spans_of([item[:7]], doc, short=True) == {}
+
+
+def test_clean_text_holds_nothing_of_a_twice_leaked_item(spark):
+    text = " ".join(numbered(30, "x") + ITEM + numbered(90, "y") + ITEM[5:45] + numbered(9, "z"))
+    docs = spark.createDataFrame([(1, text), (1, text), (2, "a b"), (3, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(5, " ".join(ITEM)), (6, None)], "item_id long, text string")
+    found = contamination.leaks(spark, docs.distinct(), items, short=True)
+    clean = {r.doc_id: r.clean_text for r in contamination.removed(docs, found).collect()}
+    assert clean[2] == "a b" and clean[3] is None
+    assert not set(clean[1].split()) & set(ITEM)
