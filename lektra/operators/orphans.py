@@ -1,34 +1,37 @@
 """References to records that do not exist, kept as incremental state.
 
-Two keyed tables hold all that is known so far:
-
-* the parent index: per (table, key) the rows that arrived, how many of them
-  are still live, and when the first arrived;
-* the references: per (table, key, month) how many there are and when the first
-  came in.
-
-A batch of new references, arriving parents and deletions is reduced to the
-same form (combined before the shuffle, so a hot key is one row per task) and
-merged by adding counts and taking minima. An orphan is open while its key has
-no live parent: an arrival resolves it, a deletion of the last live parent
-opens it again. Each batch writes a new version of both tables to the shared
-folder, which also cuts the lineage.
-
-Null keys are no references. Repeated rows count as often as they come. Empty
-tables give empty state. Columns other than the named ones are ignored.
+Everything that happens is an *event delta*: references per (table, key, month)
+with their number and first time, parents per (table, key) with the rows that
+arrived, the rows removed and the first arrival. Deltas are additive, so the
+reference and the parent index of any moment are the sums of the deltas so far.
+
+A batch touches only the keys it holds. Their deltas, old and new, are added up;
+new references probe the parent index, arriving parents resolve the orphans that
+wait for them, the removal of a key's last live parent opens its references again.
+What changed its standing is appended to the *log* of waiting orphans: the pending
+state is the last entry of each (table, key, month), and the counts of a snapshot
+are sums over the log, which no batch has to take again from all references.
+
+Null keys are no references. Repeated rows count as often as they come. Rows
+without a time belong to the first batch. Empty tables give empty state. Columns
+other than the named ones are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lektra.runtime import cut
+from lektra.runtime import cut, shared_dir
 
-REF_SCHEMA = "table_name string, ref_key string, load_month string, refs long, first_ref timestamp"
-PARENT_SCHEMA = "table_name string, ref_key string, arrived long, removed long, first_seen timestamp"
+KEY = ["table_name", "ref_key"]
+EVENTS = """table_name string, ref_key string, load_month string, refs long, first_ref timestamp,
+arrived long, removed long, first_seen timestamp, batch int"""
+LOG = "table_name string, ref_key string, load_month string, kind string, was string, refs long, before long, batch int"
+OK, LATE, DELETED, MISSING = "ok", "late", "deleted", "missing"
+BUCKETS = 32
 
 
 @dataclass(frozen=True)
@@ -42,128 +45,138 @@ class Reference:
     key: str
 
 
-def _arrived(col: str, lo, hi):
-    """Rows of the period; those without a time belong to the first."""
-    c = F.col(col)
-    cond = F.lit(True) if lo is None else c >= lo
-    if hi is not None:
-        cond = cond & (c < hi)
-    return cond | c.isNull() if lo is None else cond
-
-
 def month(c):
     """Month of a timestamp in UTC, whatever the session's time zone."""
-    utc = F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
-    return F.date_format(utc, "yyyy-MM")
+    return F.date_format(_utc(c), "yyyy-MM")
 
 
-def reference_delta(r: Reference, lo=None, hi=None) -> DataFrame:
-    rows = r.child.where(F.col(r.column).isNotNull() & _arrived("ingested_at", lo, hi))
-    return rows.groupBy(
-        F.lit(r.name).alias("table_name"),
-        F.col(r.column).cast("string").alias("ref_key"),
-        month(F.col("ingested_at")).alias("load_month"),
-    ).agg(F.count(F.lit(1)).alias("refs"), F.min("ingested_at").alias("first_ref"))
+def _utc(c: Column) -> Column:
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), c.cast("timestamp_ntz"))
 
 
-def parent_delta(r: Reference, lo=None, hi=None) -> DataFrame:
-    p = r.parent.where(F.col(r.key).isNotNull())
-    key = F.col(r.key).cast("string").alias("ref_key")
-    name = F.lit(r.name).alias("table_name")
-    arrive = p.where(_arrived("ingested_at", lo, hi)).select(
-        name, key, F.lit(1).alias("a"), F.lit(0).alias("d"), F.col("ingested_at").alias("t"))
-    gone = p.where(F.col("removed_at").isNotNull() & _arrived("removed_at", lo, hi)).select(
-        name, key, F.lit(0).alias("a"), F.lit(1).alias("d"), F.lit(None).cast("timestamp").alias("t"))
-    return arrive.unionAll(gone).groupBy("table_name", "ref_key").agg(
-        F.sum("a").alias("arrived"), F.sum("d").alias("removed"), F.min("t").alias("first_seen"))
+def _batch_of(cuts: list[str] | None):
+    """Batch of a time: the number of cuts passed, or the year in UTC; without a time the first."""
+    if cuts is None:
+        return lambda c: F.coalesce(F.year(_utc(c)), F.lit(-1))
+    return lambda c: sum((F.coalesce((c >= F.to_timestamp(F.lit(x))).cast("int"), F.lit(0)) for x in cuts), F.lit(0))
 
 
-def _merge_refs(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("table_name", "ref_key", "load_month").agg(
-        F.sum("refs").alias("refs"), F.min("first_ref").alias("first_ref"))
+def deltas(rows: DataFrame) -> DataFrame:
+    """Rows (table_name, ref_key, side, at, batch), side ``ref``, ``parent`` or ``removed``, as
+    event deltas; combined before the shuffle, so a hot key is one row per task and month."""
+    side = F.col("side")
+    of = lambda s: F.when(side == s, 1).otherwise(0)
+    return (
+        rows.where("ref_key IS NOT NULL")
+        .groupBy(*KEY, (side == "ref").alias("ref"), F.when(side == "ref", month(F.col("at"))).alias("load_month"), "batch")
+        .agg(
+            F.sum(of("ref")).alias("refs"), F.min(F.when(side == "ref", F.col("at"))).alias("first_ref"),
+            F.sum(of("parent")).alias("arrived"), F.sum(of("removed")).alias("removed"),
+            F.min(F.when(side == "parent", F.col("at"))).alias("first_seen"))
+        .select(*KEY, "load_month", "refs", "first_ref", "arrived", "removed", "first_seen", F.col("batch").cast("int"))
+    )
 
 
-def _merge_parents(*parts: DataFrame) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("table_name", "ref_key").agg(
-        F.sum("arrived").alias("arrived"), F.sum("removed").alias("removed"), F.min("first_seen").alias("first_seen"))
+def _rows(r: Reference, batch_of) -> DataFrame:
+    name = F.lit(r.name).alias("table_name")
+    row = lambda key, side, at: (
+        name, F.col(key).cast("string").alias("ref_key"), F.lit(side).alias("side"), F.col(at).alias("at"),
+        batch_of(F.col(at)).alias("batch"))
+    return (
+        r.child.select(*row(r.column, "ref", "ingested_at"))
+        .unionByName(r.parent.select(*row(r.key, "parent", "ingested_at")))
+        .unionByName(r.parent.where("removed_at IS NOT NULL").select(*row(r.key, "removed", "removed_at")))
+    )
+
+
+def _kind(arrived: Column, removed: Column, first_seen: Column, first_ref: Column) -> Column:
+    return (
+        F.when(F.coalesce(arrived, F.lit(0)) <= 0, MISSING).when(arrived - removed <= 0, DELETED)
+        .when(first_seen > first_ref, LATE).otherwise(OK))
+
+
+def changes(events: DataFrame, batch: int) -> DataFrame:
+    """What batch ``batch`` changes in the standing of references. ``events`` are the deltas of the keys
+    it touches, this batch's and all earlier ones."""
+    old = F.col("batch") < batch
+    key = Window.partitionBy(*KEY)
+    added = events.groupBy(*KEY, (F.col("refs") > 0).alias("ref"), "load_month").agg(
+        *[F.sum(c).alias(c) for c in ("refs", "arrived", "removed")], F.min("first_ref").alias("first_ref"),
+        F.min("first_seen").alias("first_seen"),
+        *[F.sum(F.when(old, F.col(c)).otherwise(0)).alias(f"old_{c}") for c in ("refs", "arrived", "removed")],
+        F.min(F.when(old, F.col("first_ref"))).alias("old_first_ref"),
+        F.min(F.when(old, F.col("first_seen"))).alias("old_first_seen"))
+    both = added.select(
+        *KEY, "ref", "load_month", F.col("refs").alias("n"), F.col("old_refs").alias("before"), *[
+            x for pre in ("", "old_") for x in (
+                F.col(f"{pre}first_ref").alias(f"{pre}ref_at"),
+                F.sum(f"{pre}arrived").over(key).alias(f"{pre}a"), F.sum(f"{pre}removed").over(key).alias(f"{pre}d"),
+                F.min(f"{pre}first_seen").over(key).alias(f"{pre}t"))])
+    now, was = (_kind(*(F.col(f"{pre}{c}") for c in ("a", "d", "t", "ref_at"))) for pre in ("", "old_"))
+    return (
+        both.where("ref").select(
+            *KEY, "load_month", now.alias("kind"), F.when(F.col("before") > 0, was).alias("was"),
+            F.col("n").alias("refs"), "before", F.lit(batch).alias("batch"))
+        .where(~F.col("kind").eqNullSafe(F.col("was")) | (F.col("kind") != OK) & (F.col("refs") != F.col("before")))
+    )
 
 
 @dataclass
 class OrphanState:
-    """The two state tables; ``apply`` takes one batch and returns the next state."""
+    """The deltas so far and the log of waiting orphans (frames of EVENTS and LOG)."""
 
     spark: SparkSession
-    refs: DataFrame = field(default=None)
-    parents: DataFrame = field(default=None)
-
-    def __post_init__(self) -> None:
-        if self.refs is None:
-            self.refs = self.spark.createDataFrame([], REF_SCHEMA)
-        if self.parents is None:
-            self.parents = self.spark.createDataFrame([], PARENT_SCHEMA)
-
-    def apply(self, refs: list[DataFrame], parents: list[DataFrame]) -> OrphanState:
-        return OrphanState(
-            self.spark,
-            cut(_merge_refs(self.refs, *refs)),
-            cut(_merge_parents(self.parents, *parents)),
-        )
+    events: DataFrame
+    log: DataFrame
 
-    def probe(self) -> DataFrame:
-        """Every (table, key, month) of the references with its standing:
-        ``missing``, ``deleted``, ``late`` or ``ok``."""
-        live = F.col("arrived") - F.col("removed")
-        kind = (
-            F.when(F.coalesce(F.col("arrived"), F.lit(0)) <= 0, "missing")
-            .when(live <= 0, "deleted")
-            .when(F.col("first_seen") > F.col("first_ref"), "late")
-            .otherwise("ok")
-        )
-        return self.refs.join(self.parents, ["table_name", "ref_key"], "left").withColumn("kind", kind)
+    @property
+    def refs(self) -> DataFrame:
+        """References per (table, key, month)."""
+        return self.events.where("refs > 0").groupBy(*KEY, "load_month").agg(
+            F.sum("refs").alias("refs"), F.min("first_ref").alias("first_ref"))
 
     def broken(self) -> DataFrame:
-        return self.probe().where(F.col("kind") != "ok")
-
-    def snapshot(self, as_of: str) -> DataFrame:
-        """Open orphans (no live parent) now, per table and month of the reference."""
+        """Waiting orphans: table, key, month, kind (``missing``, ``deleted``, ``late``) and number of references."""
+        last = self.log.groupBy(*KEY, "load_month").agg(F.max(F.struct("batch", "kind", "refs")).alias("x"))
+        return last.select(*KEY, "load_month", "x.kind", "x.refs").where(F.col("kind") != OK)
+
+    def snapshot(self, as_of: str, batch: int | None = None) -> DataFrame:
+        """Open orphans (no live parent) after ``batch``, per table and month of the reference."""
+        log = self.log if batch is None else self.log.where(F.col("batch") <= batch)
+        is_open = lambda c: F.coalesce(F.col(c).isin(MISSING, DELETED), F.lit(False)).cast("long")
         return (
-            self.probe().where(F.col("kind").isin("missing", "deleted"))
-            .groupBy("table_name", "load_month")
-            .agg(F.sum("refs").alias("open_refs"), F.count(F.lit(1)).alias("open_keys"))
-            .withColumn("as_of", F.lit(as_of))
+            log.groupBy("table_name", "load_month")
+            .agg(F.sum(is_open("kind") * F.col("refs") - is_open("was") * F.col("before")).alias("open_refs"),
+                 F.sum(is_open("kind") - is_open("was")).alias("open_keys"))
+            .where("open_keys > 0").withColumn("as_of", F.lit(as_of))
         )
 
 
-def year_cuts(refs: list[Reference]) -> list[str]:
-    """First days of the years after the first one, over all timestamps of the inputs."""
-    parts = []
-    for r in refs:
-        parts.append(r.child.select(F.year("ingested_at").alias("y")))
-        parts.append(r.parent.select(F.explode(F.array(F.year("ingested_at"), F.year("removed_at"))).alias("y")))
-    y = parts[0]
-    for p in parts[1:]:
-        y = y.unionAll(p)
-    lo, hi = y.agg(F.min("y"), F.max("y")).first()
-    return [] if lo is None else [f"{n}-01-01" for n in range(lo + 1, hi + 1)]
-
-
 def track(refs: list[Reference], with_snapshots: bool = False, cuts: list[str] | None = None):
-    """Run the inputs through the state, one batch per period in order of time.
+    """Run the inputs through the state, one batch per period (years, or the given cuts) in order of time.
 
-    Returns the last state and, if asked for, one snapshot frame per period."""
+    The inputs are read once, into deltas kept by batch. Returns the last state and,
+    if asked for, one snapshot frame per period."""
     spark = refs[0].child.sparkSession
-    cuts = year_cuts(refs) if cuts is None else cuts
-    bounds = [None, *[F.to_timestamp(F.lit(c)) for c in cuts], None]
-    state, snaps = OrphanState(spark), []
-    for i, (lo, hi) in enumerate(zip(bounds, bounds[1:])):
-        state = state.apply(
-            [reference_delta(r, lo, hi) for r in refs], [parent_delta(r, lo, hi) for r in refs])
-        if with_snapshots:
-            snaps.append(cut(state.snapshot(cuts[i] if i < len(cuts) else "end")))
+    rows = None
+    for r in refs:
+        part = _rows(r, _batch_of(cuts))
+        rows = part if rows is None else rows.unionByName(part)
+    events = cut(deltas(rows))
+    lo, hi = events.agg(F.min(F.when(F.col("batch") >= 0, F.col("batch"))), F.max("batch")).first()
+    if cuts is not None:
+        lo, hi, names = 0, len(cuts), [*cuts, "end"]
+    else:
+        lo, hi = (0, 0) if lo is None else (lo, hi)
+        names = [*(f"{n}-01-01" for n in range(lo + 1, hi + 1)), "end"]
+    # the first batch takes what has no time
+    events = events.withColumn("batch", F.greatest("batch", F.lit(lo)))
+    path = shared_dir(spark)
+    for n in range(lo, hi + 1):
+        so_far = events.where(F.col("batch") <= n)
+        if n > lo:
+            so_far = so_far.join(events.where(F.col("batch") == n).select(*KEY).distinct(), KEY, "left_semi")
+        changes(so_far, n).write.mode("append").parquet(path)
+    state = OrphanState(spark, events, spark.read.schema(LOG).parquet(path))
+    snaps = [state.snapshot(name, n) for name, n in zip(names, range(lo, hi + 1))] if with_snapshots else []
     return state, snaps

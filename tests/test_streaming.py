@@ -1,4 +1,7 @@
-from lektra.operators import orphans
+import shutil
+
+import pytest
+
 from lektra.streaming import changes
 
 
@@ -30,6 +33,26 @@ def test_orphan_stream(spark, tmp_path):
         spark.createDataFrame(r, schema).selectExpr("table_name", "side", "ref_key", "cast(at as timestamp) as at").coalesce(1).write.mode("append").parquet(src)
         ev = spark.readStream.schema("table_name string, side string, ref_key string, at timestamp").parquet(src)
         changes.orphan_stream(ev, out, cp).awaitTermination(60)
-        s = orphans.OrphanState(spark, spark.read.parquet(f"{out}/refs/v={i}"), spark.read.parquet(f"{out}/parents/v={i}"))
+        s = changes.orphan_state(spark, out, i)
         seen.append({(x.ref_key, x.kind) for x in s.broken().collect()})
     assert seen == [{("a", "missing"), ("b", "missing")}, {("a", "late")}, {("a", "late"), ("b", "deleted")}]
+
+
+def test_orphan_stream_merges_versions_and_fails_without_them(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(changes, "MERGE", 2)
+    src, out, cp = (str(tmp_path / x) for x in ("src", "out", "cp"))
+    schema = "table_name string, side string, ref_key string, at timestamp"
+    ev = lambda: spark.readStream.schema(schema).parquet(src)
+    rows = [("ref", "a"), ("ref", "b"), ("parent", "a"), ("parent", "b"), ("removed", "a"), ("parent", "c")]
+    want = [{"a"}, {"a", "b"}, {"b"}, set(), {"a"}, {"a"}]
+    for i, (side, key) in enumerate(rows):
+        df = spark.sql(f"SELECT 't' AS table_name, '{side}' AS side, '{key}' AS ref_key, timestamp'2023-01-0{9 - i}' AS at")
+        df.coalesce(1).write.mode("append").parquet(src)
+        changes.orphan_stream(ev(), out, cp).awaitTermination(60)
+        state = changes.orphan_state(spark, out, i)
+        assert {r.ref_key for r in state.broken().where("kind <> 'late'").collect()} == want[i]
+        assert sum(r.open_keys for r in state.snapshot("x").collect()) == len(want[i])
+    shutil.rmtree(f"{out}/events/merged=6")
+    df.coalesce(1).write.mode("append").parquet(src)
+    with pytest.raises(Exception):
+        changes.orphan_stream(ev(), out, cp).awaitTermination(60)
