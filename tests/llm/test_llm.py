@@ -135,13 +135,27 @@ def test_radix_leaves_split_until_they_fit():
     assert term_counts.radix_leaves({}, 10) == {}
 
 
+def test_leaves_go_deeper_for_full_cells_only(spark):
+    rows = [("hot", i) for i in range(400)] + [(f"w{i}", i) for i in range(400)]
+    df = spark.createDataFrame(rows, "term string, n int")
+    plan, count = term_counts.plan_leaves(df, "term", 2000)
+    assert [b for b, _ in plan] == [16, 24, 32] and all(len(c) == 1 for _, c in plan[2:])
+    used = sorted(a + k for _, cells in plan for a, n in cells.values() for k in range(n))
+    assert set(used) == set(range(count)) and max(n for _, c in plan for _, n in c.values()) > 1
+    assert term_counts.plan_leaves(df.limit(0), "term")[1] == 1
+    # however many rows: some thousands of leaves
+    load = {c: 10**12 // 65536 for c in range(65536)}
+    leaves = term_counts.radix_leaves(load, max(term_counts.PARTITION, 10**12 // term_counts.LEAVES))
+    assert max(a + n for a, n in leaves.values()) <= 2 * term_counts.LEAVES
+
+
 @pytest.mark.parametrize("budget", [1, 50, 10**6])
 def test_term_counts_against_a_loop(spark, budget):
     random.seed(5)
     rows = [("hot" if random.random() < 0.4 else f"t{random.randrange(60)}", random.choice(["b1", "b2"]), random.randrange(30), random.randrange(3), None) for _ in range(1500)]
     rows += [("", "b1", 1, 1, "x"), (None, "b1", 1, 1, "x")] + rows[:100]
     df = spark.createDataFrame(rows, "term string, book string, line int, pos int, note string")
-    got = {r.term: (r.occurrences, r.records) for r in term_counts.term_counts(df, "term", ["book", "line"], budget=max(budget, 20)).collect()}
+    got = {r.term: (r.occurrences, r.records) for r in term_counts.term_counts(df, "term", ["book", "line"], budget=40 * max(budget, 20)).collect()}
     d = set(rows)
     want = {t: (sum(r[0] == t for r in d), len({r[1:3] for r in d if r[0] == t})) for t in {r[0] for r in d} if t is not None}
     assert got == want
