@@ -18,12 +18,15 @@ _ROOTS: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """A path for a new folder below ``spark.checkpoint.dir``.
 
-    The setting is the cluster's; only where it is unset (tests, a laptop) a
-    temporary folder takes its place. What an application wrote goes when it ends.
+    The setting is the cluster's. Where it is unset a temporary folder takes its place in
+    local mode (tests, a laptop); on a cluster executors would not share it, so that fails.
+    What an application wrote goes when it ends.
     """
     sc = spark.sparkContext
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="lektra-")
         spark.conf.set("spark.checkpoint.dir", base)
     key = f"{sc.applicationId} {base}"
