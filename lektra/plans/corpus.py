@@ -316,3 +316,37 @@ def page_visible_segments(c: Corpus) -> DataFrame:
     return tables.band_join(lines, s, ["book_id"], "line_number", "lo", "hi", 100).groupBy(
         "segment_id", "book_id", "range_start").agg(
         F.count(F.lit(1)).alias("visible_lines"), F.min("line_number").alias("first_visible"))
+
+
+def page_neighbours(c: Corpus) -> DataFrame:
+    """Ranges before and after every page, for the text (``translator`` null) and for every translator, null
+    where there is none. Beyond the ends of a book a translator's page has a neighbour only if segments of
+    the translator meet it."""
+    p = pages(c)
+    end = F.coalesce("end_line", F.lit(2**31 - 1))
+    reach = c.segments.where("translator IS NOT NULL AND start_line IS NOT NULL").join(
+        p.select("book_id", "total").distinct(), "book_id").groupBy("book_id", "translator").agg(
+        F.max((F.col("start_line") <= 0) & (end >= 1)).alias("ahead"),
+        F.max((F.col("start_line") <= F.col("total")) & (end > F.col("total"))).alias("beyond"))
+    both = p.select(*PAGE, "total", F.lit(None).cast("string").alias("translator"), F.lit(False).alias("ahead"), F.lit(False).alias("beyond"))
+    both = both.unionByName(p.select(*PAGE, "total").join(reach, "book_id"))
+    start, to = F.col("range_start"), F.col("range_end")
+    back, on = (start > 1) | F.col("ahead"), (to < F.col("total")) | F.col("beyond")
+    return both.select(
+        *PAGE, "translator", F.when(back, F.greatest(start - 100, F.lit(1))).alias("previous_start"),
+        F.when(back, start - 1).alias("previous_end"), F.when(on, to + 1).alias("next_start"),
+        F.when(on, F.least(F.col("total"), to + 100)).alias("next_end"))
+
+
+def web_pages(c: Corpus, size: int = 30) -> DataFrame:
+    """Pages of ``size`` lines that can be reached: the first with fewer rows is the last."""
+    per = c.lines.where("line_number >= 1").groupBy(
+        "book_id", (F.floor((F.col("line_number") - 1) / size) + 1).cast("int").alias("page")).agg(
+        F.count(F.lit(1)).alias("line_rows"))
+    top = per.groupBy("book_id").agg(F.max("page").alias("top"))
+    full = top.select("book_id", F.explode(F.sequence(F.lit(1), F.col("top") + 1)).alias("page")).join(
+        per, ["book_id", "page"], "left").fillna(0, ["line_rows"])
+    last = full.where(F.col("line_rows") < size).groupBy("book_id").agg(F.min("page").alias("last"))
+    return full.join(last, "book_id").where(F.col("page") <= F.col("last")).select(
+        "book_id", "page", ((F.col("page") - 1) * size + 1).alias("first_line"), (F.col("page") * size).alias("last_line"),
+        "line_rows", (F.col("page") == F.col("last")).alias("is_last"))

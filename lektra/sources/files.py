@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lektra.functions import text
-from lektra.operators.tables import first_writer
+from lektra.operators.tables import first_writer, insert_ignore, last_writer
 from lektra.plans.bookmarks import SCHEMA as BOOKMARKS
 from lektra.sources.tei import local, named_entities
 
@@ -142,19 +142,18 @@ def inflection_info(pages: DataFrame) -> DataFrame:
         ("(?i)\\{\\{inflected form of\\|grc\\|([^|}]+)[^}]*\\}\\}", 1, 0),
         ("(?i)\\{\\{(nominative|genitive|dative|accusative|vocative) (?:singular|plural) of\\|grc\\|([^}]+)\\}\\}", 2, 1),
     ]
-    lemma = tags = None
-    for p, g, t in ladder:
-        hit = get(p, g)
-        tag = F.filter(F.transform(F.split(get(p, t), "\\|"), F.trim), lambda x: x != "") if t else F.array().cast("array<string>")
-        lemma = F.when(hit.isNotNull(), hit) if lemma is None else lemma.when(hit.isNotNull(), hit)
-        tags = F.when(hit.isNotNull(), tag) if tags is None else tags.when(hit.isNotNull(), tag)
+    hits = [F.struct(get(p, g).alias("lemma"), (F.filter(F.transform(F.split(get(p, t), "\\|"), F.trim), lambda x: x != "")
+                     if t else F.array().cast("array<string>")).alias("tags")) for p, g, t in ladder]
+    # the first that fits; exploded, so that the ladder is climbed once
+    first = F.slice(F.filter(F.array(*hits), lambda x: x["lemma"].isNotNull()), 1, 1)
+    s = s.select("title", "s", F.inline(first))
     pos = F.lower(get("===(" + "|".join(PAGE_PARTS) + ")===", 1))
     lines = F.filter(F.split("s", "\n"), lambda x: x.startswith("# "))
-    s = s.withColumn("lemma", F.trim(F.regexp_replace(lemma, "[#|].*", ""))).withColumn("morphology", tags)
-    return s.where(F.col("lemma").isNotNull()).select(
-        F.col("title").alias("word_form"), text.normalize_greek(F.col("title")).alias("word_normalized"), "lemma",
-        text.normalize_greek(F.col("lemma")).alias("lemma_normalized"), pos.alias("pos"), "morphology",
-        F.when(pos.isNotNull(), text.wiki_plain(F.substring(F.get(lines, 0), 3, 1_000_000))).alias("definition"))
+    lemma = F.trim(F.regexp_replace("lemma", "[#|].*", ""))
+    return s.select(
+        F.col("title").alias("word_form"), text.normalize_greek(F.col("title")).alias("word_normalized"), lemma.alias("lemma"),
+        text.normalize_greek(lemma).alias("lemma_normalized"), pos.alias("pos"), F.col("tags").alias("morphology"),
+        F.when(pos.isNotNull(), text.wiki_plain(F.substr(F.get(lines, 0), F.lit(3)))).alias("definition"))
 
 
 def greek_noun_forms(pages: DataFrame) -> DataFrame:
@@ -194,12 +193,20 @@ def page_words(pages: DataFrame) -> DataFrame:
         F.concat(F.when(F.col("inflected"), "inflection").otherwise("lemma"), F.lit(":"), F.array_join("pos", ",")).alias("morph_info"))
 
 
+def part_of_speech_counts(words: DataFrame) -> DataFrame:
+    """``page_words`` counted: one row per type of page and part of speech (pages without one: "unknown")."""
+    kind = F.split("morph_info", ":")
+    pos = F.when(F.get(kind, 1) == "", F.array(F.lit("unknown"))).otherwise(F.split(F.get(kind, 1), ","))
+    return words.select(F.get(kind, 0).alias("type"), F.explode(pos).alias("pos")).groupBy("type", "pos").agg(
+        F.count(F.lit(1)).alias("n"))
+
+
 def definitions(pages: DataFrame, wanted: DataFrame | None = None, n: int = 3, chars: int = 500) -> DataFrame:
     """Up to n senses of each page, restricted to wanted words (word_normalized); of several
     pages of one word the first by title counts."""
     s = pages.withColumn("s", text.wiki_section(F.col("wikitext"), "Ancient Greek"))
     lines = F.filter(F.split("s", "\n"), lambda x: x.startswith("# "))
-    senses = F.filter(F.transform(lines, lambda x: text.wiki_plain(F.substring(x, 3, 1_000_000))), lambda x: x != "")
+    senses = F.filter(F.transform(lines, lambda x: text.wiki_plain(F.substr(x, F.lit(3)))), lambda x: x != "")
     rows = s.select("title", text.normalize_greek(F.col("title")).alias("word_normalized"), F.slice(senses, 1, n).alias("d")).where(F.size("d") > 0)
     if wanted is not None:
         rows = rows.join(wanted.select("word_normalized").distinct(), "word_normalized", "left_semi")
@@ -288,12 +295,38 @@ def json_objects(spark: SparkSession, path: str, value: str) -> DataFrame:
     return t.select(F.explode(F.from_json("value", f"map<string,struct<{value}>>")).alias("key", "v")).select("key", "v.*")
 
 
-def write_json_mappings(mappings: DataFrame, path: str, metadata: dict[str, str]) -> None:
-    """Mappings as JSON lines, the header beside them."""
-    mappings.write.mode("overwrite").json(f"{path}/mappings")
-    spark = mappings.sparkSession
-    spark.createDataFrame([(k, v) for k, v in sorted(metadata.items())], "key string, value string").coalesce(1).write.mode(
-        "overwrite").json(f"{path}/metadata")
+def write_json_mappings(mappings: DataFrame, path: str, metadata: dict[str, str], per_file: int = 50_000) -> None:
+    """Files {metadata, mappings: [...]} of at most ``per_file`` mappings each, as ``json_mappings`` reads them."""
+    # ids count up within a partition, so a file takes rows of one task only
+    part = F.floor(F.monotonically_increasing_id() / per_file)
+    head = F.create_map(*[F.lit(x) for kv in sorted(metadata.items()) for x in kv]) if metadata else F.create_map()
+    files = mappings.select(F.struct(*mappings.columns).alias("m"), part.alias("part")).groupBy("part").agg(
+        F.collect_list("m").alias("mappings"))
+    files.select(F.to_json(F.struct(head.alias("metadata"), "mappings"))).write.mode("overwrite").option(
+        "maxRecordsPerFile", 1).text(path)
+
+
+def insert(spark: SparkSession, path: str, new: DataFrame, keys: list[str], order: list[str], how: str = "plain") -> None:
+    """Add rows to the table at ``path``: ``plain`` keeps all, ``ignore`` keeps what is there on a conflict of the
+    keys, ``replace`` the new row; of new rows in conflict the first, or the last, by ``order`` counts. The new
+    version is written beside the old one before it takes its place."""
+    old = spark.read.parquet(path)
+    if how == "plain":
+        out = old.unionByName(new)
+    elif how == "ignore":
+        out = old.unionByName(insert_ignore(old, new, keys, order))
+    elif how == "replace":
+        fresh = last_writer([new], keys, order)
+        out = old.join(fresh.select(*keys), keys, "left_anti").select(*old.columns).unionByName(fresh)
+    else:
+        raise ValueError(f"no such way to insert: {how}")
+    path = path.rstrip("/")
+    out.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}__new")
+    at = lambda x: spark.sparkContext._jvm.org.apache.hadoop.fs.Path(x)
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.rename(at(path), at(f"{path}__old"))
+    fs.rename(at(f"{path}__new"), at(path))
+    fs.delete(at(f"{path}__old"), True)
 
 
 def read_bookmarks_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -313,18 +346,17 @@ def name_list(spark: SparkSession, path: str) -> DataFrame:
 
 
 def listed_authors(authors: DataFrame, names: DataFrame) -> DataFrame:
-    """Greek authors by equal names, Latin ones by a listed name within theirs. The list is a
-    configuration file; it is broadcast if it has at most 10,000 names."""
+    """Greek authors by equal names, Latin ones by a listed name within theirs: a part of a name that is
+    listed is one of its substrings, so both are joins on equal text, however long the list is."""
     low = F.lower("name")
-    exact = authors.withColumn("__lk", low).where("language = 'greek'").join(
-        names.select(F.col("name").alias("__lk")), "__lk", "left_semi").drop("__lk").select(*authors.columns)
-    few = [r[0] for r in names.limit(10_001).collect()]
-    if len(few) > 10_000:
-        raise ValueError("a list of more than 10,000 names cannot be matched by part of a name")
-    latin = F.lit(False)
-    for n in few:
-        latin = latin | low.contains(n)
-    return exact.unionByName(authors.where("language = 'latin'").where(latin))
+    listed = names.select(F.col("name").alias("__lk")).distinct()
+    exact = authors.where("language = 'greek'").withColumn("__lk", low).join(listed, "__lk", "left_semi")
+    size = F.length("name")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.transform(
+        F.sequence(F.lit(1), size - i + 1), lambda n: F.substr(low, i, n))))
+    latin = authors.where("language = 'latin'").where(size > 0)
+    within = latin.select("id", F.explode(F.array_distinct(parts)).alias("__lk")).join(listed, "__lk", "left_semi").select("id")
+    return exact.select(*authors.columns).unionByName(latin.join(within.distinct(), "id", "left_semi").select(*authors.columns))
 
 
 def first_authors(authors: DataFrame, priority: list[str], n: int) -> DataFrame:

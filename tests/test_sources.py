@@ -132,8 +132,12 @@ def test_json_csv_lists(spark, tmp_path):
     bm = spark.createDataFrame([(1, "w", "b", 3, "A", "T", None, 'say "hi", x', None, 5, 6)], files.BOOKMARKS)
     files.write_bookmarks_csv(bm, str(tmp_path / "csv"))
     assert [tuple(r) for r in files.read_bookmarks_csv(spark, str(tmp_path / "csv")).collect()] == [tuple(r) for r in bm.collect()]
-    files.write_json_mappings(a, str(tmp_path / "out"), {"n": "3"})
-    assert spark.read.json(str(tmp_path / "out/mappings")).count() == 3
+    m = files.json_mappings(spark, str(tmp_path / "m.json"))
+    files.write_json_mappings(m.repartition(2), str(tmp_path / "out"), {"n": "3"}, per_file=1)
+    assert sorted(tuple(r) for r in files.json_mappings(spark, str(tmp_path / "out")).collect()) == rows
+    heads = spark.read.json(str(tmp_path / "out"), multiLine=True).select("metadata.n").collect()
+    assert [r.n for r in heads] == ["3", "3"]
+    files.write_json_mappings(m.limit(0), str(tmp_path / "none"), {})
 
 
 def test_schema_check():
@@ -190,3 +194,29 @@ def test_quality_text(spark):
 def test_display_title(spark):
     df = spark.createDataFrame([("Ἰλιάς", "Iliad"), ("a", " "), ("b", "tlg001"), ("c", None)], "t string, e string")
     assert [r[0] for r in df.select(text.display_title(F.col("t"), F.col("e"))).collect()] == ["Iliad", "a", "b", "c"]
+
+
+def test_api_facade(spark):
+    from lektra.plans.api import Api
+    from lektra.plans.corpus import Corpus
+
+    api = Api(Corpus(spark, "/root/testdata/sf0.001"))
+    a = api.authors("greek").first()
+    w = api.works(a.id).first()
+    b = api.books(w.id).first()
+    assert api.text(b.id, 1, 10).where("line_number > 10").count() == 0 and api.text(b.id, 1, 10).count() > 0
+    assert api.translations(b.id, 1, 100).count() >= 0 and api.translators(b.id).count() >= 0
+    assert api.dictionary("Λόγος").count() >= 0
+    # words of the server keep their final sigma, the stored keys do not
+    assert api.occurrences("Λόγος").count() == 0 and api.occurrences("λόγοσ").count() > 0
+
+
+def test_unknown_way_of_inserting(spark, tmp_path):
+    import pytest
+
+    df = spark.createDataFrame([(1, "a")], "id int, v string")
+    df.write.parquet(str(tmp_path / "t"))
+    with pytest.raises(ValueError):
+        files.insert(spark, str(tmp_path / "t"), df, ["id"], ["v"], "other")
+    files.insert(spark, str(tmp_path / "t"), df, ["id"], ["v"], "replace")
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 1
