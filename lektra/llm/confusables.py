@@ -4,8 +4,18 @@ A value's *mapped form* drops invisible characters, turns every space into the
 ordinary one, replaces compatibility forms and, word by word, letters borrowed
 from another script by the letter of the word's own script, and composes the
 result. Values with equal mapped forms under an accent-sensitive Unicode
-collation are one class; its canonical member is the smallest mapped form, and
-it is joined back to every value of the class.
+collation are one class; its canonical member is the shortest, of these the
+smallest, mapped form, and it is joined back to every value of the class.
+
+Shapes come from two sources: a short list of letters of the three scripts of
+these texts (which also decides between several look-alikes), and Unicode's table
+of confusable characters, which the collation library that Spark brings along
+holds, for all other letters of the Basic Multilingual Plane.
+
+Most text is *clean*: composed Latin and Greek letters, digits and marks that are
+their own form and that no other character equals under the collation, without a
+word of both scripts. Such a value is its own canonical form, whatever else is in
+the table; a regular expression tells it without Python and without a shuffle.
 
 Defined cases: null stays null; the empty text is its own form; words of
 different scripts side by side keep their scripts (only mixed words, and whole
@@ -17,9 +27,11 @@ from __future__ import annotations
 
 import re
 import unicodedata as U
+from collections.abc import Callable
+from functools import lru_cache
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -139,18 +151,19 @@ def _word_scripts(word: str) -> tuple[list[int], list[int]]:
     return n, sure
 
 
-def mapped_form(text: str | None) -> str | None:
-    """The form of a text; a form is its own form."""
+def mapped_form(text: str | None, shapes: list[dict[str, str]] | None = None) -> str | None:
+    """The form of a text; a form is its own form. ``shapes``: per script, letters of further
+    scripts with the letter that looks like them."""
     if text is None or (text.isascii() and text.isprintable()):
         return text
-    for _ in range(5):
-        before, text = text, _pass(text)
-        if text == before:
-            break
+    seen = set()
+    while text not in seen:
+        seen.add(text)
+        text = _pass(text, shapes)
     return text
 
 
-def _pass(text: str) -> str:
+def _pass(text: str, shapes: list[dict[str, str]] | None) -> str:
     t = U.normalize("NFD", text.translate(_CHARS))
     record: list[int] | None = None
     out, last = [], 0
@@ -161,7 +174,8 @@ def _pass(text: str) -> str:
         n, sure = _word_scripts(w)
         present = sum(1 for s in range(3) if n[s])
         odd = any(ch in _ALWAYS for ch in w)
-        if present < 2 and not odd and not (n[2] and not sure[2]):
+        strange = shapes is not None and n[3] and present
+        if present < 2 and not odd and not strange and not (n[2] and not sure[2]):
             continue
         if record is None:
             record, certain = [0, 0, 0, 0], [0, 0, 0, 0]
@@ -169,15 +183,15 @@ def _pass(text: str) -> str:
                 a, b = _word_scripts(x)
                 record = [p + q for p, q in zip(record, a)]
                 certain = [p + q for p, q in zip(certain, b)]
-        if present < 2 and n[2] and not odd:
+        if present < 2 and n[2] and not odd and not strange:
             # a whole word of Cyrillic look-alikes: its own unless nothing else here is surely Cyrillic
             if certain[2] or not (record[0] or record[1]):
                 continue
             to = max((0, 1), key=lambda s: record[s])
         else:
             to = max(range(3), key=lambda s: (sure[s] > 0 and n[s], sure[s], n[s], record[s]))
-        table = _TO[to]
-        changed = "".join(table.get(ch, ch) for ch in w)
+        table, more = _TO[to], shapes[to] if shapes else {}
+        changed = "".join(table.get(ch) or more.get(ch, ch) for ch in w)
         if changed != w:
             out.append(t[last:m.start()])
             out.append(changed)
@@ -187,30 +201,111 @@ def _pass(text: str) -> str:
     return U.normalize("NFC", t)
 
 
-@F.pandas_udf(T.StringType())
-def mapped(values: pd.Series) -> pd.Series:
-    return values.map(mapped_form, na_action="ignore")
+def _letters(first: int, last: int) -> list[str]:
+    return [chr(c) for c in range(first, last) if U.category(chr(c))[0] == "L" and not U.decomposition(chr(c))]
+
+
+@lru_cache(maxsize=1)
+def _skeletons() -> dict[str, str]:
+    """Letters of the Basic Multilingual Plane (but for Han and Hangul) -> what Unicode says they look like."""
+    jvm = SparkSession.active()._jvm
+    chars = [c for a, b in ((0x21, 0x3400), (0xA000, 0xAC00), (0xD7B0, 0xD800), (0xF900, 0xFFFE)) for c in _letters(a, b)]
+    looks = jvm.com.ibm.icu.text.SpoofChecker.Builder().build().getSkeleton("\n".join(chars)).split("\n")
+    return dict(zip(chars, looks))
+
+
+def unicode_shapes() -> list[dict[str, str]]:
+    """Per script of the three: letters of other scripts with the letter of this script that looks alike. Between
+    the common letters of the three the list above decides."""
+    looks = _skeletons()
+    own = [_letters(0x41, 0x7B), _letters(0x391, 0x3CA), _letters(0x410, 0x450)]
+    common = set().union(*own)
+    out = []
+    for to, letters in enumerate(own):
+        by_look: dict[str, str] = {}
+        for c in letters:
+            by_look.setdefault(looks[c], c)
+        out.append({c: by_look[x] for c, x in looks.items() if _script(c) != to and c not in common and x in by_look})
+    return out
+
+
+@lru_cache(maxsize=1)
+def _clean_pattern() -> str:
+    """Texts of characters that are their own form and whose collation keys are neither empty nor shared,
+    in words of one script."""
+    spans = ((0x20, 0x250), (0x370, 0x400), (0x1F00, 0x2000), (0x2010, 0x2028), (0x2030, 0x205F))
+    chars = [chr(c) for a, b in spans for c in range(a, b)]
+    chars = [
+        c for c in chars
+        if U.category(c)[0] in "LNPS" and _char(c) == c and U.normalize("NFC", c) == c and c not in _ALWAYS and _pass(c, None) == c]
+    jvm = SparkSession.active()._jvm
+    collator = jvm.com.ibm.icu.text.Collator.getInstance(jvm.com.ibm.icu.util.ULocale.ROOT)
+    keys: dict[str, list[str]] = {}
+    for c in chars:
+        keys.setdefault(bytes(collator.getCollationKey(c).toByteArray()).hex(), []).append(c)
+    empty = bytes(collator.getCollationKey("").toByteArray()).hex()
+    good = {x[0] for k, x in keys.items() if len(x) == 1 and k != empty} | {" "}
+    letters = {s: _class({c for c in good if U.category(c)[0] == "L" and _script(c) == s}) for s in (0, 1)}
+    return f"^(?!.*(?:{letters[0]}{letters[1]}|{letters[1]}{letters[0]})){_class(good)}*\\z"
+
+
+def _class(chars: set[str]) -> str:
+    """A character class by ranges."""
+    codes, out = sorted(map(ord, chars)), []
+    for c in codes:
+        if out and c == out[-1][1] + 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+
+
+def is_clean(value: Column) -> Column:
+    return value.rlike(_clean_pattern())
+
+
+def mapper() -> Callable[[Column], Column]:
+    shapes = unicode_shapes()
+
+    @F.pandas_udf(T.StringType())
+    def mapped(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: mapped_form(x, shapes), na_action="ignore")
+
+    return mapped
 
 
 def canonical(df: DataFrame, field: str) -> DataFrame:
     """One row per distinct non-null value of ``field``: ``value``, ``canonical``."""
-    spark = df.sparkSession
     values = df.select(F.col(f"`{field}`").alias("value")).where("value IS NOT NULL").distinct()
-    # used on both sides of the join below, so it is made once
-    forms = cut(values.select("value", mapped("value").alias("form")))
-    return spark.sql(
+    clean = is_clean(F.col("value"))
+    return values.where(clean).select("value", F.col("value").alias("canonical")).unionByName(
+        _classes(values.where(~clean), values.where(clean)))
+
+
+def _classes(values: DataFrame, clean: DataFrame) -> DataFrame:
+    """Distinct values that are not clean with the canonical member of their class. A clean value can be a
+    member too: it is one of the forms, or one of them without what the collation ignores."""
+    forms = cut(values.select("value", mapper()("value").alias("form")))
+    bare = F.regexp_replace("form", "[\\p{Cntrl}\\p{Cf}]", "")
+    return values.sparkSession.sql(
         """
-        WITH forms AS (SELECT value, form, form COLLATE UNICODE AS class FROM {forms}),
-        members AS (SELECT class, min(form) AS canonical FROM forms GROUP BY class)
-        SELECT forms.value, members.canonical FROM forms JOIN members ON forms.class = members.class
+        WITH members AS (SELECT DISTINCT form FROM {forms} UNION SELECT value FROM {clean} LEFT SEMI JOIN {bare} ON value = bare),
+        best AS (SELECT form COLLATE UNICODE AS class, min(struct(length(form) AS n, form)).form AS canonical
+                 FROM members GROUP BY form COLLATE UNICODE)
+        SELECT value, canonical FROM {forms} JOIN best ON form COLLATE UNICODE = class
         """,
-        forms=forms,
-    )
+        forms=forms, clean=clean, bare=forms.select(bare.alias("bare")).where("bare <> form").distinct())
 
 
 def with_canonical(df: DataFrame, field: str, out: str = "canonical") -> DataFrame:
     """Join the canonical member back to every row (null values keep null). A column of
-    that name is replaced."""
+    that name is replaced. Rows with clean values take no part in a shuffle."""
     df = df.drop(out)
-    classes = canonical(df, field).select(F.col("value").alias("__lk_value"), F.col("canonical").alias(out))
-    return df.join(classes, df[field] == classes["__lk_value"], "left").drop("__lk_value")
+    value = F.col(f"`{field}`")
+    clean = F.coalesce(is_clean(value), F.lit(True))
+    odd = df.where(~clean)
+    classes = _classes(
+        odd.select(value.alias("value")).distinct(), df.where(clean).where(value.isNotNull()).select(value.alias("value"))
+    ).select(F.col("value").alias("__lk_value"), F.col("canonical").alias(out))
+    changed = odd.join(classes, odd[field] == classes["__lk_value"]).drop("__lk_value")
+    return df.where(clean).withColumn(out, value).unionByName(changed)

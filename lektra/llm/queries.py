@@ -24,7 +24,7 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
 
 def _p4(spark: SparkSession, d: str) -> DataFrame:
     def part(name: str, field: str, key) -> DataFrame:
-        rows = table(spark, d, name).select(field, key.alias("record_key")).distinct()
+        rows = table(spark, d, name).select(field, key.alias("record_key"))
         return confusables.with_canonical(rows, field).select(
             F.lit(name).alias("table_name"), "record_key", F.col(field).alias("stored"), "canonical")
 
@@ -42,7 +42,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its field in the consistent form."""
-    return _p4(spark, d)
+    return _p4(spark, d).distinct()
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:

@@ -111,6 +111,30 @@ def test_classes_have_one_canonical_member(spark):
     assert confusables.with_canonical(df.limit(0), "s").count() == 0
 
 
+def test_letters_of_any_script_take_the_words_own(spark):
+    shapes = confusables.unicode_shapes()
+    f = lambda x: confusables.mapped_form(x, shapes)
+    for bad, good in [("rea\u0501er", "reader"), ("wi\u0578e", "wine"), ("\u13aamen", "Amen"), ("b\u2c9fok", "book"), ("\u13a2ota", "Iota")]:
+        assert unicodedata.normalize("NFC", f(bad)).casefold()[1:] == good.casefold()[1:] and f(bad).isascii(), (bad, f(bad))
+        assert f(f(bad)) == f(bad)
+    # words of other scripts keep their letters
+    for own in ("\u0578\u0582", "\u13aa\u13ab", "\u2c9f\u2ca9", "λόγος", "Москва"):
+        assert f(own) == own
+    df = spark.createDataFrame([("wi\u0578e",), ("wine",)], "s string")
+    assert {r.canonical for r in confusables.with_canonical(df, "s").collect()} == {"wine"}
+
+
+def test_clean_values_are_their_own_form(spark):
+    rnd = random.Random(2)
+    chars = [chr(c) for a, b in ((0x20, 0x530), (0x1F00, 0x2100), (0xFF01, 0xFF60)) for c in range(a, b)]
+    rows = ["".join(rnd.choices(chars, k=3)) for _ in range(4000)] + chars + ["ὁ λόγος, “τίς;”", "Et cum.", "a\u0430", "αa"]
+    df = spark.createDataFrame([(x,) for x in rows], "s string")
+    shapes = confusables.unicode_shapes()
+    clean = [r.s for r in df.where(confusables.is_clean(F.col("s"))).collect()]
+    assert len(clean) > 400 and {"ὁ λόγος, “τίς;”", "Et cum."} <= set(clean) and "αa" not in clean
+    assert all(confusables.mapped_form(x, shapes) == x for x in clean)
+
+
 def test_found_records_are_those_a_plain_check_finds(spark):
     got = {(r.table_name, r.record_key) for r in queries.p4_found(spark, SF).collect()}
     lines = spark.read.parquet(f"{SF}/text_lines.parquet").collect()
