@@ -230,9 +230,9 @@ def unicode_shapes() -> list[dict[str, str]]:
 
 
 @lru_cache(maxsize=1)
-def _clean_pattern() -> str:
-    """Texts of characters that are their own form and whose collation keys are neither empty nor shared,
-    in words of one script."""
+def _clean_kinds() -> dict[str, str]:
+    """Characters that are their own form and whose collation keys are neither empty nor shared -> l, g (letters
+    of the two scripts) or a space."""
     spans = ((0x20, 0x250), (0x370, 0x400), (0x1F00, 0x2000), (0x2010, 0x2028), (0x2030, 0x205F))
     chars = [chr(c) for a, b in spans for c in range(a, b)]
     chars = [
@@ -244,24 +244,14 @@ def _clean_pattern() -> str:
     for c in chars:
         keys.setdefault(bytes(collator.getCollationKey(c).toByteArray()).hex(), []).append(c)
     empty = bytes(collator.getCollationKey("").toByteArray()).hex()
-    good = {x[0] for k, x in keys.items() if len(x) == 1 and k != empty} | {" "}
-    letters = {s: _class({c for c in good if U.category(c)[0] == "L" and _script(c) == s}) for s in (0, 1)}
-    return f"^(?!.*(?:{letters[0]}{letters[1]}|{letters[1]}{letters[0]})){_class(good)}*\\z"
-
-
-def _class(chars: set[str]) -> str:
-    """A character class by ranges."""
-    codes, out = sorted(map(ord, chars)), []
-    for c in codes:
-        if out and c == out[-1][1] + 1:
-            out[-1][1] = c
-        else:
-            out.append([c, c])
-    return "[" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in out) + "]"
+    good = [x[0] for k, x in keys.items() if len(x) == 1 and k != empty]
+    return {" ": " "} | {c: "lg"[_script(c)] if U.category(c)[0] == "L" and _script(c) < 2 else " " for c in good}
 
 
 def is_clean(value: Column) -> Column:
-    return value.rlike(_clean_pattern())
+    """Characters become kinds, in which two simple patterns are looked for: another character, or both scripts in a word."""
+    kinds = _clean_kinds()
+    return ~F.translate(value, "".join(kinds), "".join(kinds.values())).rlike("[^lg ]|lg|gl")
 
 
 def mapper() -> Callable[[Column], Column]:
@@ -279,33 +269,40 @@ def canonical(df: DataFrame, field: str) -> DataFrame:
     values = df.select(F.col(f"`{field}`").alias("value")).where("value IS NOT NULL").distinct()
     clean = is_clean(F.col("value"))
     return values.where(clean).select("value", F.col("value").alias("canonical")).unionByName(
-        _classes(values.where(~clean), values.where(clean)))
+        _classes(values.where(~clean), values))
 
 
-def _classes(values: DataFrame, clean: DataFrame) -> DataFrame:
+def _classes(odd: DataFrame, values: DataFrame) -> DataFrame:
     """Distinct values that are not clean with the canonical member of their class. A clean value can be a
     member too: it is one of the forms, or one of them without what the collation ignores."""
-    forms = cut(values.select("value", mapper()("value").alias("form")))
+    forms = cut(odd.select("value", mapper()("value").alias("form")))
     bare = F.regexp_replace("form", "[\\p{Cntrl}\\p{Cf}]", "")
+    bare = forms.select(bare.alias("value")).where(bare != F.col("form")).distinct()
+    # joined before it is asked which are clean: hardly any are left then
+    near = cut(values.join(bare, "value", "left_semi"))
     return values.sparkSession.sql(
         """
-        WITH members AS (SELECT DISTINCT form FROM {forms} UNION SELECT value FROM {clean} LEFT SEMI JOIN {bare} ON value = bare),
+        WITH members AS (SELECT form FROM {forms} UNION SELECT value FROM {near}),
         best AS (SELECT form COLLATE UNICODE AS class, min(struct(length(form) AS n, form)).form AS canonical
                  FROM members GROUP BY form COLLATE UNICODE)
         SELECT value, canonical FROM {forms} JOIN best ON form COLLATE UNICODE = class
         """,
-        forms=forms, clean=clean, bare=forms.select(bare.alias("bare")).where("bare <> form").distinct())
+        forms=forms, near=near.where(is_clean(F.col("value"))))
+
+
+def odd_rows(df: DataFrame, field: str, out: str = "canonical") -> DataFrame:
+    """The rows whose value is not clean, with the canonical member; all others are their own."""
+    df = df.drop(out)
+    value = F.col(f"`{field}`")
+    odd = cut(df.where(~is_clean(value)))
+    classes = _classes(odd.select(value.alias("value")).distinct(), df.select(value.alias("value"))).select(
+        F.col("value").alias("__lk_value"), F.col("canonical").alias(out))
+    return odd.join(classes, odd[field] == classes["__lk_value"]).drop("__lk_value")
 
 
 def with_canonical(df: DataFrame, field: str, out: str = "canonical") -> DataFrame:
     """Join the canonical member back to every row (null values keep null). A column of
     that name is replaced. Rows with clean values take no part in a shuffle."""
-    df = df.drop(out)
     value = F.col(f"`{field}`")
-    clean = F.coalesce(is_clean(value), F.lit(True))
-    odd = df.where(~clean)
-    classes = _classes(
-        odd.select(value.alias("value")).distinct(), df.where(clean).where(value.isNotNull()).select(value.alias("value"))
-    ).select(F.col("value").alias("__lk_value"), F.col("canonical").alias(out))
-    changed = odd.join(classes, odd[field] == classes["__lk_value"]).drop("__lk_value")
-    return df.where(clean).withColumn(out, value).unionByName(changed)
+    clean = df.drop(out).where(F.coalesce(is_clean(value), F.lit(True))).withColumn(out, value)
+    return clean.unionByName(odd_rows(df, field, out))

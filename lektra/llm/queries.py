@@ -22,10 +22,10 @@ def p2_sentences(spark: SparkSession, d: str) -> DataFrame:
         table(spark, d, "translation_segments"), "id", "translation_text", with_text=True)
 
 
-def _p4(spark: SparkSession, d: str) -> DataFrame:
+def _p4(spark: SparkSession, d: str, canonical) -> DataFrame:
     def part(name: str, field: str, key) -> DataFrame:
         rows = table(spark, d, name).select(field, key.alias("record_key"))
-        return confusables.with_canonical(rows, field).select(
+        return canonical(rows, field).select(
             F.lit(name).alias("table_name"), "record_key", F.col(field).alias("stored"), "canonical")
 
     return (
@@ -37,12 +37,12 @@ def _p4(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _p4(spark, d).where(F.col("stored") != F.col("canonical")).select("table_name", "record_key").distinct()
+    return _p4(spark, d, confusables.odd_rows).where(F.col("stored") != F.col("canonical")).select("table_name", "record_key").distinct()
 
 
 def p4_canonical(spark: SparkSession, d: str) -> DataFrame:
     """Every record with its field in the consistent form."""
-    return _p4(spark, d).distinct()
+    return _p4(spark, d, confusables.with_canonical).distinct()
 
 
 def _located(spark: SparkSession, d: str) -> DataFrame:
