@@ -1,15 +1,21 @@
 """Sentence boundaries by a finite transducer.
 
-Texts pass two finite machines. The lexical one (regular expressions) turns
-characters into classes: it neutralises the points of abbreviations, decimals
-and trailing dots, and marks the first letter of a word of saying after a
-closing quotation mark. The boundary transducer reads the classes and emits a
-mark at every first character of a sentence.
-
-Texts are processed in blocks of chunks that step together. A text of more than
-one chunk is not read in sequence: each chunk is first run from every state,
-which gives its transition function; the functions are composed by a parallel
-prefix scan, and a second run of all chunks, now from known states, emits.
+Texts pass two finite machines. The lexical one turns characters into classes by
+what stands within ``CONTEXT`` characters of them: it neutralises the points of
+abbreviations, initials, decimals and trailing dots, and marks the first letter
+after a closing quotation mark where a word of saying follows. The boundary
+transducer reads the classes and emits a mark at every first character of a
+sentence.
+
+Texts are processed in chunks that step together, and no chunk needs another one's
+text: the lexical machine reads a chunk with its context on both sides, and a
+text of more than one chunk is run from every state, which gives each chunk's
+transition function; the functions are composed by a parallel prefix scan, and a
+second run of all chunks, now from known states, emits.
+
+Words are data per language (``ABBREVIATIONS``, ``SAYING``); what follows decides
+the rest: a letter with a point stands for a name, several for an abbreviation that
+ends a sentence unless a small letter, a comma or, after capitals, a capital follows.
 
 Defined cases: null and blank texts have no sentence; a text without a mark is
 one sentence; white space belongs to none; sentences of a text do not overlap;
@@ -29,18 +35,29 @@ from pyspark.sql import types as T
 from lektra.llm.batches import expand
 from lektra.llm.confusables import LONE, LOOKALIKES
 
-# Abbreviations that never end a sentence.
-ABBREVIATIONS = """
-βλ πρβλ δηλ κ.τ.λ π.χ λ.χ cod codd cf s.v lib cap kal D.M e.g i.e viz vol pp p no ed fr fl ca St Mr Mrs Ms Dr Prof
-Cn Sex Ti Ser App Mam Sp vs z.B d.h bzw vgl Nr p.ex c.-à-d ecc sig pag
-""".split()
-# Abbreviations that may end one.
-FINAL_ABBREVIATIONS = "κτλ etc usw ecc".split()
-# Words of saying after a quotation.
-SAYING = """
-φησίν φησί φησι φησιν εἶπεν εἶπε ἔφη ἔφησεν λέγει ἦ
-inquit inquam ait dixit respondit said says asked replied cried answered
-""".split()
+# Abbreviations that never end a sentence, by language.
+ABBREVIATIONS = {
+    "el": "βλ πρβλ δηλ κ.τ.λ π.χ λ.χ",
+    "la": "cod codd cf s.v lib cap kal D.M vol pp p no ed fr fl ca Cn Sex Ti Ser App Mam Sp sig pag",
+    "en": "e.g i.e viz St Mr Mrs Ms Dr Prof vs Gen Col Lt Capt Sgt Maj Rev Hon Gov Sen Fig Figs Eq Vol",
+    "de": "z.B d.h bzw vgl Nr",
+    "fr": "p.ex c.-à-d",
+    "it": "ecc",
+}
+# Abbreviations that may end one.
+FINAL_ABBREVIATIONS = {"el": "κτλ", "la": "etc", "de": "usw", "it": "ecc"}
+# Words of saying after a quotation.
+SAYING = {
+    "el": "φησίν φησί φησι φησιν εἶπεν εἶπε ἔφη ἔφησεν λέγει ἦ",
+    "la": "inquit inquam ait dixit respondit",
+    "en": "said says asked replied cried answered shouted whispered exclaimed added",
+}
+# Who may stand between an English quotation and its word of saying.
+SPEAKERS = "he she it they we I you"
+# Words that start a sentence even after capitals with points.
+STARTERS = "He She It They We I The A An In On At But And This That There"
+#: characters on each side that the class of a character may depend on
+CONTEXT = 64
 
 WS, GREEK, OTHER, STOP, HARD, GREEK_STOP, CLOSE, OPEN, SKIP, SAY_GREEK, SAY_OTHER, MARK = range(12)
 CLASSES = 12
@@ -175,22 +192,46 @@ _SKELETON = _skeleton()
 _DROP = re.compile("[­͏​-‍⁠﻿\u0300-\u036f]")
 
 
+def _words(by_language: dict[str, str]) -> list[str]:
+    return [w for ws in by_language.values() for w in ws.split()]
+
+
 def _alt(words: list[str]) -> str:
     """The words as they look, longest first."""
     looks = {w.translate(_SKELETON) for w in words}
     return "|".join(re.escape(w) for w in sorted(looks, key=lambda w: (-len(w), w)))
 
 
+_SMALL = r"[^\W\d_A-ZΑ-Ω]"
 _QUIET = re.compile(
-    rf"(?<![\w.])(?:(?:{_alt(ABBREVIATIONS)}|[A-ZΑ-Ω])\.|(?:{_alt(FINAL_ABBREVIATIONS)})\.(?=\s*,|\s+[^\W\d_A-ZΑ-Ω]))"
-    r"|(?<=\d)[.·](?=\d)|(?:\.\.+|…)(?=\s*[^\W\d_A-ZΑ-Ω])"
+    # several letters with points: capitals before a word that does not start a sentence, small ones before a small letter
+    rf"(?<![\w.])(?:[A-Z]\.(?:[A-Z]\.)+(?=\s*,|\s+(?!(?:{_alt(STARTERS.split())})\b)[^\W\d_])"
+    rf"|{_SMALL}\.(?:{_SMALL}\.)+(?=\s*,|\s+{_SMALL})"
+    rf"|(?:{_alt(_words(ABBREVIATIONS))}|[A-ZΑ-Ω])\.|(?:{_alt(_words(FINAL_ABBREVIATIONS))})\.(?=\s*,|\s+{_SMALL})"
+    r"|[^\W\d_]\.(?=[^\W\d_]\.))"
+    rf"|(?<=\d)[.·](?=\d)|(?:\.\.+|…)(?=\s*{_SMALL})"
 )
-_MAY_END = {"", *(w.translate(_SKELETON) for w in FINAL_ABBREVIATIONS)}
-_SAY = re.compile(rf"[»”’\"'」』]\s+({_alt(SAYING)})(?!\w)")
+_MAY_END = {"", *(w.translate(_SKELETON) for w in _words(FINAL_ABBREVIATIONS))}
+_SAY = re.compile(
+    rf"[»”’\"'」』]\s+(?:({_alt(_words(SAYING))})|((?:{_alt(SPEAKERS.split())}|[A-Z]\w*)\s+(?:{_alt(SAYING['en'].split())})))(?!\w)")
 
 
 def classes(text: str) -> np.ndarray:
     """Class of every character, after the lexical machine."""
+    if len(text) <= CHUNK:
+        return _classes(text)
+    out = []
+    for lo in range(0, len(text), CHUNK):
+        before = min(lo, CONTEXT)
+        out.append(_classes(text[lo - before:lo + CHUNK + CONTEXT])[before:before + CHUNK])
+    return np.concatenate(out)
+
+
+#: characters that the lexical machine reads at once
+CHUNK = 4096
+
+
+def _classes(text: str) -> np.ndarray:
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     out = _TABLE[np.where(codes < 0x10000, codes, 0x41)]
     if not text:
@@ -201,13 +242,13 @@ def classes(text: str) -> np.ndarray:
         back, t = np.array([*keep, len(text)]), "".join(t[i] for i in keep)
     t = t.translate(_SKELETON)
     for m in _QUIET.finditer(t):
-        if m.group().rstrip(".…") in _MAY_END and t[m.end():].lstrip()[:1].isupper():
+        if m.group().rstrip(".…") in _MAY_END and t[m.end():m.end() + CONTEXT].lstrip()[:1].isupper():
             continue
         for i in range(m.start(), m.end()):
             if t[i] in ".·…":
                 out[i if back is None else back[i]] = MARK
     for m in _SAY.finditer(t):
-        i = m.start(1)
+        i = m.start(1) if m.group(1) else m.start(2)
         i = i if back is None else back[i]
         out[i] = SAY_GREEK if out[i] == GREEK else SAY_OTHER
     return out

@@ -462,3 +462,106 @@ def test_every_query_of_the_smallest_tables(spark):
     for name, f in queries.QUERIES.items():
         df = f(spark, SF)
         assert df.columns and df.count() >= 0, name
+
+
+# --- boundaries that context decides
+
+@pytest.mark.parametrize("text, want", [
+    ("We met Gen. Lee there. He left.", ["We met Gen. Lee there.", "He left."]),
+    ("At 3.5 p.m. in May. Then.", ["At 3.5 p.m. in May.", "Then."]),
+    ("At 5 p.m. They ran.", ["At 5 p.m.", "They ran."]),
+    ("See Fig. 3. It shows.", ["See Fig. 3.", "It shows."]),
+    ("The U.S. Army came. It won.", ["The U.S. Army came.", "It won."]),
+    ("He lives in the U.S. He said so.", ["He lives in the U.S.", "He said so."]),
+    ("“Stop!” he shouted. They ran.", ["“Stop!” he shouted.", "They ran."]),
+    ("“Stop!” John said. They ran.", ["“Stop!” John said.", "They ran."]),
+    ("“Stop!” They ran.", ["“Stop!”", "They ran."]),
+])
+def test_context_decides(text, want):
+    assert [text[a:b] for a, b in sentences.spans([text])[0]] == want
+
+
+def test_chunks_stand_alone():
+    rnd = random.Random(9)
+    words = ["“Stop!”", "said", "he", "U.S.", "Army.", "3.5", "βλ.", "λόγος;", "κτλ.", "etc.", "cum", "τί·", "áb", "​x.", "…", "ok"]
+    for _ in range(5):
+        text = " ".join(rnd.choice(words) for _ in range(4000))
+        assert (sentences.classes(text) == sentences._classes(text)).all()
+        assert sentences.spans([text], width=64) == sentences.spans([text], width=10**6)
+
+
+# --- alignment: merges, splits, omissions, far reordering, copies
+
+def hard_books(seed=12, books=4, n_lines=60):
+    rnd = random.Random(seed)
+    letters = "αβγδεζηθικλμνπρτφχ"
+    made = sorted({"".join(rnd.choices(letters, k=7)) for _ in range(260)})
+    lex = {w: f"en{i}" for i, w in enumerate(made)}
+    weights = [1 / (1 + i) ** 0.6 for i in range(len(made))]
+    en = lambda ws: "The " + " and the ".join(lex[w] for w in ws) + "."
+    lines, segs, look, truth, sid = [], [], [], set(), 0
+    for b in range(books):
+        book, units = f"tlg{b}.w.001", []
+        for n in range(1, n_lines + 1):
+            ws = rnd.choices(made, weights, k=6)
+            units.append((b * 1000 + n, n, ws))
+            lines.append((b * 1000 + n, book, n, " ".join(ws).capitalize() + "."))
+        k, far = 0, []
+        while k < n_lines:
+            kind = rnd.choice(["1:1"] * 5 + ["1:2", "2:1", "1:3", "3:1", "2:2", "none", "extra", "far"])
+            take = {"2:1": 2, "3:1": 3, "2:2": 2}.get(kind, 1)
+            part = units[k:k + take]
+            k += take
+            if kind == "none":
+                continue
+            sid += 1
+            lo, hi = part[0][1], part[-1][1]
+            if kind in ("1:1", "extra", "far"):
+                texts = [(en(part[0][2]), part)]
+            elif kind in ("1:2", "1:3"):
+                m = int(kind[2])
+                texts = [(en(part[0][2][j * 6 // m:(j + 1) * 6 // m]), part) for j in range(m)]
+            elif kind == "2:2":
+                texts = [(en(p[2]), [p]) for p in reversed(part)]
+            else:
+                texts = [(en([w for p in part for w in p[2]]), part)]
+            if kind == "extra":
+                texts.append(("Nothing of this stands there.", []))
+            at = (max(1, lo - 25), max(1, lo - 25)) if kind == "far" else (lo, hi)
+            text, rows = "", []
+            for t, ps in texts:
+                start = len(text) + (1 if text else 0)
+                text = f"{text} {t}".strip()
+                rows += [(p[0], 0, sid, start) for p in ps]
+            truth |= set(rows)
+            segs.append((sid, book, at[0], at[1], text))
+            look += [(book, max(1, at[0] + rnd.randint(-12, 12)), sid)]
+            if rnd.random() < 0.05:  # loaded twice
+                segs.append((sid + 100_000, book, at[0], at[1], text))
+                truth |= {(a, x, sid + 100_000, y) for a, x, _, y in rows}
+    return lines, segs, look, truth, lex
+
+
+def test_alignment_of_merges_splits_and_far_places(spark, monkeypatch):
+    lines, segs, look, truth, lex = hard_books()
+    frames = (
+        spark.createDataFrame(lines, "id long, book_id string, line_number int, line_text string"),
+        spark.createDataFrame(segs, "id long, book_id string, start_line int, end_line int, translation_text string"),
+        spark.createDataFrame(look, "book_id string, line_number int, segment_id long"),
+        spark.createDataFrame(sorted(lex.items())[:150], "headword string, entry_plain string"))
+
+    def score():
+        got = {(r.line_id, r.line_start, r.segment_id, r.segment_start) for r in alignment.align(*frames).collect()}
+        return len(got & truth) / len(truth), len(got & truth) / len(got)
+
+    recall, precision = score()
+    assert recall > 0.9 and precision > 0.9, (recall, precision)
+    # small blocks: what lies beyond a block's edge is found among the sentences left over
+    monkeypatch.setattr(alignment, "BLOCK", 16)
+    monkeypatch.setattr(alignment, "EDGE", 4)
+    monkeypatch.setattr(alignment, "TILE", 1)
+    recall, precision = score()
+    assert recall > 0.9 and precision > 0.9, (recall, precision)
+    # blocks that are too full are matched by tiles only
+    monkeypatch.setattr(alignment, "LIMIT", 8)
+    assert score()[0] > 0.7
