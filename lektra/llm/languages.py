@@ -3,13 +3,16 @@
 A word that the model knows is scored by its per-language log frequency; an
 unknown word by its longest known character n-grams (four letters, then three,
 two, one), each position backing off on its own. Scores are summed over the
-units of a text (sentences and lines), a Viterbi path over the units with a
-price for every change picks the languages, runs of at most three words join
-their neighbours, and equal neighbours merge into stretches.
+units of a text (sentences and lines; of more than ``LONG`` words, pieces of
+them), a Viterbi path over the units with a price for every change picks the
+languages, runs of at most three words join their neighbours, and equal neighbours
+merge into stretches. Where a change falls inside a unit, it is put between the two
+words where it scores best.
 
 The model is fitted on a bounded sample of labelled rows: at most
-``SAMPLE_PER_LABEL`` documents of each label, none above ``SAMPLE_CHARS``
-characters, chosen by the hash of the id. A second round counts again by the
+``SAMPLE_PER_LABEL`` documents of each label and some ``SAMPLE_TOTAL`` in all, of
+the ``MAX_LABELS`` most frequent labels, none above ``SAMPLE_CHARS`` characters,
+chosen by the hash of the id. A second round counts again by the
 languages the first model gives to each unit, which removes wrong labels and
 mixed documents. Everything else runs over all documents and whole texts.
 
@@ -33,14 +36,20 @@ from pyspark.sql import types as T
 from lektra.llm.batches import expand
 
 SAMPLE_PER_LABEL = 400
+SAMPLE_TOTAL = 25_600
 SAMPLE_CHARS = 20_000
-MAX_LABELS = 64
+#: more than there are languages with a two-letter or three-letter code in use
+MAX_LABELS = 8_000
+#: words of a unit, and of the pieces of a longer one
+LONG, PIECE = 24, 8
 MAX_N = 4
 SHORT_RUN = 3
 #: log-likelihood ratio a single word can carry at most
 CLIP = 7.0
 #: price of a change of language between two units
 SWITCH = 6.0
+#: and inside one, where no mark speaks for it
+INSIDE = 24.0
 
 WORD = re.compile(r"[^\W\d_]+(?:[̀-ͯ]+[^\W\d_]*)*")
 UNIT_END = re.compile(r"(?<=[.!?;·:)\]»”])\s+|\n+|\s+(?=[(\[«“])")
@@ -193,30 +202,29 @@ def sample(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, st
         & F.length(text).between(40, SAMPLE_CHARS)
     )
     # thin each label by hash to a small multiple of the sample before it is collected
-    top = known.groupBy(label).count().orderBy(F.desc("count"), label).limit(MAX_LABELS)
-    sizes = {r[0]: r[1] for r in top.collect()}
-    want = [
-        (F.col(label) == k) & (F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.lit(
-            min(1.0, 1.5 * SAMPLE_PER_LABEL / n) * (1 << 30)))
-        for k, n in sizes.items()
-    ]
-    if not want:
+    spark = df.sparkSession
+    sizes = known.groupBy(F.col(label).alias("__lk_label")).agg(F.count(F.lit(1)).alias("__lk_n")).orderBy(
+        F.desc("__lk_n"), "__lk_label").limit(MAX_LABELS).collect()
+    if not sizes:
         return []
-    cond = want[0]
-    for w in want[1:]:
-        cond = cond | w
-    rows = known.where(cond).select(label, text, key).collect()
+    most = max(min(SAMPLE_PER_LABEL, SAMPLE_TOTAL // len(sizes)), 1)
+    share = spark.createDataFrame(
+        [(r[0], int(min(1.0, 1.5 * most / r[1]) * (1 << 30))) for r in sizes], "__lk_label string, __lk_share long")
+    # MAX_LABELS rows at most
+    rows = (
+        known.join(F.broadcast(share), F.col(label) == F.col("__lk_label"))
+        .where(F.pmod(F.xxhash64(key), F.lit(1 << 30)) < F.col("__lk_share")).select(label, text, key).collect())
     taken: Counter = Counter()
     out = []
     for r in sorted(rows, key=lambda r: (str(r[0]), str(r[2]))):
-        if taken[r[0]] < SAMPLE_PER_LABEL:
+        if taken[r[0]] < most:
             taken[r[0]] += 1
             out.append((r[0], r[1]))
     return out
 
 
-def _viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
-    """Best path of each sequence of unit scores; all sequences step together."""
+def _viterbi(scores: list[np.ndarray], prices: list[np.ndarray]) -> list[np.ndarray]:
+    """Best path of each sequence of unit scores, with the price of a change before each; all sequences step together."""
     lens = np.array([len(s) for s in scores])
     out = [np.zeros(n, dtype=np.int64) for n in lens]
     live = np.flatnonzero(lens > 0)
@@ -233,7 +241,7 @@ def _viterbi(scores: list[np.ndarray]) -> list[np.ndarray]:
         n = n_at[t]
         now = best[:n]
         top = now.argmax(axis=1)
-        jump = now[np.arange(n), top] - SWITCH
+        jump = now[np.arange(n), top] - np.array([prices[i][t] for i in order[:n]])
         stay = now >= jump[:, None]
         frm = np.where(stay, np.arange(k)[None, :], top[:, None])
         here = np.stack([scores[i][t] for i in order[:n]])
@@ -272,47 +280,82 @@ def _weights(scores: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return weights
 
 
+def _pieces(n: int) -> list[int]:
+    """First words of the pieces of a unit of ``n`` words; the last has less than two pieces' words."""
+    return list(range(0, max(n - PIECE + 1, 1), PIECE)) if n > LONG else [0]
+
+
 def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, float]]]:
     """Stretches (start, end, language, confidence) of every text, in order."""
-    cut = [units(t) for t in texts]
+    cut: list[list[tuple[int, int]]] = []
     words: list[str] = []
     sizes: list[int] = []
-    for t, us in zip(texts, cut):
+    # places of the words of pieces, and the pieces that go on from the one before
+    inside: dict[int, list[tuple[int, int]]] = {}
+    goes_on: list[int] = []
+    for t in texts:
         low = t.lower()
         low = low if len(low) == len(t) else None
-        for a, b in us:
+        parts = []
+        for a, b in units(t):
             ws = WORD.findall(low[a:b]) if low is not None else words_of(t[a:b])
-            if len(ws) > SHORT_RUN and unaccented_greek(" ".join(ws)):
+            n = len(ws)
+            if n > SHORT_RUN and unaccented_greek(" ".join(ws)):
                 ws = [PLAIN + fold(w) for w in ws]
             words += ws
-            sizes.append(len(ws))
+            at = [(m.start(), m.end()) for m in WORD.finditer(low, a, b)] if n > LONG and low is not None else []
+            if len(at) != n:
+                parts.append((a, b))
+                sizes.append(n)
+                continue
+            first = _pieces(n)
+            for i, (x, y) in enumerate(zip(first, [*first[1:], n])):
+                inside[len(sizes)] = at[x:y]
+                if i:
+                    goes_on.append(len(sizes))
+                parts.append((at[x][0] if i else a, at[y - 1][1] if y < n else b))
+                sizes.append(y - x)
+        cut.append(parts)
     k = len(model.langs)
     size = np.array(sizes, dtype=np.int64)
     ends = np.cumsum(size)
-    if words:
-        sums = np.concatenate([np.zeros((1, k)), np.cumsum(model.score(words), axis=0, dtype=np.float64)])
-        unit = sums[ends] - sums[ends - size]
-    else:
-        unit = np.zeros((len(size), k))
-    at, unit_of, size_of = 0, [], []
+    single = model.score(words) if words else np.zeros((0, k), np.float32)
+    sums = np.concatenate([np.zeros((1, k)), np.cumsum(single, axis=0, dtype=np.float64)])
+    unit = sums[ends] - sums[ends - size]
+    price = np.full(len(size), SWITCH)
+    price[goes_on] = INSIDE
+    at, unit_of, size_of, first_of = 0, [], [], []
     for us in cut:
         unit_of.append(unit[at:at + len(us)])
         size_of.append(size[at:at + len(us)])
+        first_of.append(at)
         at += len(us)
-    paths = _viterbi([u * _weights(u, z)[:, None] for u, z in zip(unit_of, size_of)])
+    paths = _viterbi(
+        [u * _weights(u, z)[:, None] for u, z in zip(unit_of, size_of)],
+        [price[f:f + len(z)] for f, z in zip(first_of, size_of)])
     out = []
-    for t, us, u, z, path in zip(texts, cut, unit_of, size_of, paths):
+    for t, us, u, z, path, base in zip(texts, cut, unit_of, size_of, paths, first_of):
         if not us or not z.sum():
             out.append([(0, len(t), "und", 0.0)])
             continue
-        runs = _runs(path, z)
         row = []
-        for a, b, lang in runs:
+        for a, b, lang in _runs(path, z):
             s = u[a:b].sum(axis=0)
             n = max(int(z[a:b].sum()), 1)
             rest = np.delete(s, lang)
             margin = float(s[lang] - rest.max()) / math.sqrt(n) if len(rest) else 10.0
-            row.append((us[a][0], us[b - 1][1], model.langs[lang], round(1 / (1 + math.exp(-min(max(margin, -30), 30))), 4)))
+            start = us[a][0]
+            if price[base + a] == INSIDE and row:
+                left, here = inside[base + a - 1], inside[base + a]
+                lo = int(ends[base + a - 1] - size[base + a - 1])
+                gain = single[lo:int(ends[base + a]), last] - single[lo:int(ends[base + a]), lang]
+                split = int(np.argmax(np.concatenate([[0.0], np.cumsum(gain)])))
+                places = left + here
+                if 0 < split < len(places):
+                    start = places[split][0]
+                    row[-1] = (row[-1][0], places[split - 1][1], *row[-1][2:])
+            row.append((start, us[b - 1][1], model.langs[lang], round(1 / (1 + math.exp(-min(max(margin, -30), 30))), 4)))
+            last = lang
         out.append(row)
     return out
 
