@@ -3,7 +3,7 @@
 1. A histogram of bytes over 16 hash bits of the term (65,536 counters at most) is
    taken in one pass, combined before the shuffle.
 2. Starting with 4 bits, every partition above the budget is split by the next 4
-   bits, and so on. Cells still too large at 16 bits are counted again by 8 more
+   bits (neighbours that fit into one stay together), and so on. Cells still too large at 16 bits are counted again by 8 more
    bits, and at 24 by 8 more; only their rows are looked at, and there are at most
    as many of them as leaves. What is too large at 32 bits (one hot term) is split
    by the hash of the record instead, into as many shards as it needs: a row's
@@ -63,8 +63,15 @@ def radix_leaves(histogram: dict[int, int], budget: int, bits: int = BITS) -> di
         parts: dict[int, list[int]] = {}
         for c in codes:
             parts.setdefault(c >> shift, []).append(c)
+        # neighbours that fit together stay together
+        together, held = [], 0
         for p in sorted(parts):
-            split(parts[p], depth + 1)
+            size = sum(histogram[c] for c in parts[p])
+            if together and held + size > budget:
+                split(together, depth + 1)
+                together, held = [], 0
+            together, held = together + parts[p], held + size
+        split(together, depth + 1)
 
     if histogram:
         split(sorted(histogram), 0)
