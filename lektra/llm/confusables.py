@@ -154,7 +154,7 @@ def _word_scripts(word: str) -> tuple[list[int], list[int]]:
 def mapped_form(text: str | None, shapes: list[dict[str, str]] | None = None) -> str | None:
     """The form of a text; a form is its own form. ``shapes``: per script, letters of further
     scripts with the letter that looks like them."""
-    if text is None or (text.isascii() and text.isprintable()):
+    if text is None or (text.isascii() and text.isprintable()) or (_OWN.fullmatch(text) and not _BOTH.search(text)):
         return text
     seen = set()
     while text not in seen:
@@ -201,6 +201,20 @@ def _pass(text: str, shapes: list[dict[str, str]] | None) -> str:
     return U.normalize("NFC", t)
 
 
+def _own_form() -> list[str]:
+    """Characters without marks that stay as they are in words of one script, Latin or Greek."""
+    spans = ((0x20, 0x250), (0x370, 0x400), (0x1F00, 0x2000), (0x2010, 0x2028), (0x2030, 0x205F))
+    chars = [chr(c) for a, b in spans for c in range(a, b)]
+    return [
+        c for c in chars
+        if U.category(c)[0] in "LNPS" and _char(c) == c and U.normalize("NFC", c) == c and c not in _ALWAYS and _pass(c, None) == c]
+
+
+_OWN = re.compile(f"[ {re.escape(''.join(_own_form()))}]*")
+_BOTH = re.compile("[{0}][{1}]|[{1}][{0}]".format(
+    *("".join(c for c in _own_form() if U.category(c)[0] == "L" and _script(c) == s) for s in (0, 1))))
+
+
 def _letters(first: int, last: int) -> list[str]:
     return [chr(c) for c in range(first, last) if U.category(chr(c))[0] == "L" and not U.decomposition(chr(c))]
 
@@ -233,15 +247,10 @@ def unicode_shapes() -> list[dict[str, str]]:
 def _clean_kinds() -> dict[str, str]:
     """Characters that are their own form and whose collation keys are neither empty nor shared -> l, g (letters
     of the two scripts) or a space."""
-    spans = ((0x20, 0x250), (0x370, 0x400), (0x1F00, 0x2000), (0x2010, 0x2028), (0x2030, 0x205F))
-    chars = [chr(c) for a, b in spans for c in range(a, b)]
-    chars = [
-        c for c in chars
-        if U.category(c)[0] in "LNPS" and _char(c) == c and U.normalize("NFC", c) == c and c not in _ALWAYS and _pass(c, None) == c]
     jvm = SparkSession.active()._jvm
     collator = jvm.com.ibm.icu.text.Collator.getInstance(jvm.com.ibm.icu.util.ULocale.ROOT)
     keys: dict[str, list[str]] = {}
-    for c in chars:
+    for c in _own_form():
         keys.setdefault(bytes(collator.getCollationKey(c).toByteArray()).hex(), []).append(c)
     empty = bytes(collator.getCollationKey("").toByteArray()).hex()
     good = [x[0] for k, x in keys.items() if len(x) == 1 and k != empty]
