@@ -278,6 +278,14 @@ def q09_visible_pages(c: Corpus) -> DataFrame:
     return corpus.page_visible_segments(c)
 
 
+@query(f"""WITH {_PAGE_SEGMENTS} SELECT translator, ps.id, ps.book_id, range_start
+FROM ps JOIN translation_segments t ON t.id = ps.id WHERE translator IS NOT NULL""")
+def q09_translator_pages(c: Corpus) -> DataFrame:
+    """Translations of every translator for every page of every book."""
+    who = c.segments.where("translator IS NOT NULL").select("id", "translator")
+    return corpus.page_translations(c).join(who, "id").select("translator", "id", "book_id", "range_start")
+
+
 @query("SELECT DISTINCT book_id, translator FROM translation_segments WHERE translator IS NOT NULL")
 def q10_translators(c: Corpus) -> DataFrame:
     return corpus.translators(c)
