@@ -223,36 +223,35 @@ def sample(df: DataFrame, key: str, text: str, label: str) -> list[tuple[str, st
     return out
 
 
-def _viterbi(scores: list[np.ndarray], prices: list[np.ndarray]) -> list[np.ndarray]:
-    """Best path of each sequence of unit scores, with the price of a change before each; all sequences step together."""
-    lens = np.array([len(s) for s in scores])
-    out = [np.zeros(n, dtype=np.int64) for n in lens]
-    live = np.flatnonzero(lens > 0)
-    order = live[np.argsort(-lens[live], kind="stable")]
+def _viterbi(scores: np.ndarray, prices: np.ndarray, lens: np.ndarray) -> np.ndarray:
+    """Best path of each sequence; the rows of all (scores, and the price of a change before each) stand one
+    after the other, and all sequences step together."""
+    out = np.zeros(len(scores), dtype=np.int64)
+    first = np.cumsum(lens) - lens
+    order = np.argsort(-lens, kind="stable")
+    order = order[lens[order] > 0]
     if not len(order):
         return out
-    k = scores[order[0]].shape[1]
-    sl = lens[order]
-    steps = int(sl[0])
-    n_at = [int(np.searchsorted(-sl, -t, side="left")) for t in range(steps)]
-    best = np.stack([scores[i][0] for i in order])
+    k = scores.shape[1]
+    off, sl = first[order], lens[order]
+    n_at = np.searchsorted(-sl, -np.arange(int(sl[0])), side="left")
+    best = scores[off].copy()
     back: list[np.ndarray] = [np.zeros((0, 0))]
-    for t in range(1, steps):
-        n = n_at[t]
+    for t in range(1, int(sl[0])):
+        n = int(n_at[t])
         now = best[:n]
         top = now.argmax(axis=1)
-        jump = now[np.arange(n), top] - np.array([prices[i][t] for i in order[:n]])
+        jump = now[np.arange(n), top] - prices[off[:n] + t]
         stay = now >= jump[:, None]
-        frm = np.where(stay, np.arange(k)[None, :], top[:, None])
-        here = np.stack([scores[i][t] for i in order[:n]])
-        best[:n] = np.where(stay, now, jump[:, None]) + here
-        back.append(frm)
-    for r, i in enumerate(order):
-        s = int(best[r].argmax())
-        for t in range(int(sl[r]) - 1, -1, -1):
-            out[i][t] = s
-            if t:
-                s = int(back[t][r, s])
+        back.append(np.where(stay, np.arange(k)[None, :], top[:, None]).astype(np.int16))
+        best[:n] = np.where(stay, now, jump[:, None]) + scores[off[:n] + t]
+    # back from the ends, again all together: a sequence joins at its last step
+    state = best.argmax(axis=1)
+    for t in range(int(sl[0]) - 1, -1, -1):
+        n = int(n_at[t])
+        out[off[:n] + t] = state[:n]
+        if t:
+            state[:n] = back[t][np.arange(n), state[:n]]
     return out
 
 
@@ -290,8 +289,8 @@ def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
     cut: list[list[tuple[int, int]]] = []
     words: list[str] = []
     sizes: list[int] = []
-    # places of the words of pieces, and the pieces that go on from the one before
-    inside: dict[int, list[tuple[int, int]]] = {}
+    # first word and end of pieces in their unit, and the pieces that go on from the one before
+    inside: dict[int, tuple[int, int]] = {}
     goes_on: list[int] = []
     for t in texts:
         low = t.lower()
@@ -303,17 +302,16 @@ def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
             if n > SHORT_RUN and unaccented_greek(" ".join(ws)):
                 ws = [PLAIN + fold(w) for w in ws]
             words += ws
-            at = [(m.start(), m.end()) for m in WORD.finditer(low, a, b)] if n > LONG and low is not None else []
-            if len(at) != n:
+            if n <= LONG or low is None:
                 parts.append((a, b))
                 sizes.append(n)
                 continue
             first = _pieces(n)
-            for i, (x, y) in enumerate(zip(first, [*first[1:], n])):
-                inside[len(sizes)] = at[x:y]
-                if i:
+            for x, y in zip(first, [*first[1:], n]):
+                inside[len(sizes)] = (x, y)
+                if x:
                     goes_on.append(len(sizes))
-                parts.append((at[x][0] if i else a, at[y - 1][1] if y < n else b))
+                parts.append((a, b))
                 sizes.append(y - x)
         cut.append(parts)
     k = len(model.langs)
@@ -324,15 +322,13 @@ def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
     unit = sums[ends] - sums[ends - size]
     price = np.full(len(size), SWITCH)
     price[goes_on] = INSIDE
-    at, unit_of, size_of, first_of = 0, [], [], []
-    for us in cut:
-        unit_of.append(unit[at:at + len(us)])
-        size_of.append(size[at:at + len(us)])
-        first_of.append(at)
-        at += len(us)
-    paths = _viterbi(
-        [u * _weights(u, z)[:, None] for u, z in zip(unit_of, size_of)],
-        [price[f:f + len(z)] for f, z in zip(first_of, size_of)])
+    lens = np.array([len(us) for us in cut], dtype=np.int64)
+    first_of = (np.cumsum(lens) - lens).tolist()
+    spread = [(f, f + n) for f, n in zip(first_of, lens.tolist())]
+    unit_of, size_of = [unit[a:b] for a, b in spread], [size[a:b] for a, b in spread]
+    weight = np.concatenate([_weights(u, z) for u, z in zip(unit_of, size_of)]) if len(size) else np.zeros(0)
+    steps = _viterbi(unit * weight[:, None], price, lens)
+    paths = [steps[a:b] for a, b in spread]
     out = []
     for t, us, u, z, path, base in zip(texts, cut, unit_of, size_of, paths, first_of):
         if not us or not z.sum():
@@ -346,14 +342,15 @@ def detect(model: Model, texts: list[str]) -> list[list[tuple[int, int, str, flo
             margin = float(s[lang] - rest.max()) / math.sqrt(n) if len(rest) else 10.0
             start = us[a][0]
             if price[base + a] == INSIDE and row:
-                left, here = inside[base + a - 1], inside[base + a]
+                # words of the piece before and of this one, the split that scores best, else the pieces' own
+                (x, middle), (_, y) = inside[base + a - 1], inside[base + a]
                 lo = int(ends[base + a - 1] - size[base + a - 1])
                 gain = single[lo:int(ends[base + a]), last] - single[lo:int(ends[base + a]), lang]
                 split = int(np.argmax(np.concatenate([[0.0], np.cumsum(gain)])))
-                places = left + here
-                if 0 < split < len(places):
-                    start = places[split][0]
-                    row[-1] = (row[-1][0], places[split - 1][1], *row[-1][2:])
+                split = x + split if 0 < split < y - x else middle
+                places = [m.span() for m in WORD.finditer(t.lower(), *us[a])]
+                start = places[split][0]
+                row[-1] = (row[-1][0], places[split - 1][1], *row[-1][2:])
             row.append((start, us[b - 1][1], model.langs[lang], round(1 / (1 + math.exp(-min(max(margin, -30), 30))), 4)))
             last = lang
         out.append(row)
