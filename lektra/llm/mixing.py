@@ -17,7 +17,9 @@ share and cap; repeated documents are drawn alike.
 from __future__ import annotations
 
 import base64
+import os
 
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -38,9 +40,13 @@ def encoder(path: str):
 
 
 def count_tokens(docs: DataFrame, text: str = "text", path: str = VOCABULARY) -> DataFrame:
-    """``docs`` without the text, with ``tokens``; texts are encoded whole."""
+    """``docs`` without the text, with ``tokens``; texts are encoded whole. The vocabulary file is read where
+    the driver has it and goes to the executors with the job."""
+    docs.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def make():
-        enc = encoder(path)
+        enc = encoder(SparkFiles.get(name))
         return lambda texts: ([1] * len(texts), [[len(enc.encode_ordinary(t)) if t else 0 for t in texts]])
 
     keep = {c: c for c in docs.columns if c not in (text, "tokens")}
