@@ -565,3 +565,18 @@ def test_alignment_of_merges_splits_and_far_places(spark, monkeypatch):
     # blocks that are too full are matched by tiles only
     monkeypatch.setattr(alignment, "LIMIT", 8)
     assert score()[0] > 0.7
+
+
+def test_alignment_of_odd_rows(spark):
+    lines, segs, look, truth, lex = hard_books(books=1, n_lines=40)
+    book, top = lines[0][1], 2**31 - 1
+    lines += [(None, book, 3, lines[0][3]), (9001, book, top, "x"), (9002, book, -5, "y"), (9003, book, 0, "λ" * 50_000)]
+    segs += [(None, book, 1, 2, segs[0][4]), (9101, book, 2, top, "Over all."), (9102, book, -top, top, "More."),
+             (9103, book, None, None, "No place."), (9104, book, 9, 3, "Back to front.")]
+    look += [(book, None, 9103), (book, 3, None), (None, 3, 9103), (book, top, 9102), look[0]]
+    got = {(r.line_id, r.line_start, r.segment_id, r.segment_start) for r in alignment.align(
+        spark.createDataFrame(lines, "id long, book_id string, line_number int, line_text string").withColumns({"uid": F.lit(1), "lo": F.lit("x")}),
+        spark.createDataFrame(segs, "id long, book_id string, start_line int, end_line int, translation_text string").withColumn("kind", F.lit(2)),
+        spark.createDataFrame(look, "book_id string, line_number int, segment_id long"),
+        spark.createDataFrame([*sorted(lex.items())[:150], ("", ""), ("-", "-")], "headword string, entry_plain string")).collect()}
+    assert len(got & truth) > 0.85 * len(truth) and not any(None in x for x in got)
