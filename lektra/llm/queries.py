@@ -138,7 +138,38 @@ c AS (SELECT word_normalized AS term, count(*) AS occurrences, count(DISTINCT (b
       FROM d WHERE word_normalized IS NOT NULL GROUP BY 1)
 """
 
+_LATIN = r"a-zA-Z\x{00C0}-\x{024F}\x{1E00}-\x{1EFF}"
+_GREEK = r"\x{0370}-\x{0373}\x{0376}\x{0377}\x{037B}-\x{037D}\x{037F}\x{0386}\x{0388}-\x{03FF}\x{1F00}-\x{1FFC}"
+_CYRILLIC = r"\x{0400}-\x{052F}"
+
+
+def _odd(c: str) -> str:
+    """Not composed; invisible; another space; a compatibility form; a letter of another script in a word, or a
+    whole word of Cyrillic letters that look Latin or Greek beside one that is."""
+    return rf"""(nfc_normalize({c}) <> {c}
+ OR regexp_matches({c}, '[\p{{Cf}}\x{{034F}}\x{{115F}}\x{{1160}}\x{{FE00}}-\x{{FE0F}}]')
+ OR regexp_matches({c}, '[\x{{00A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}\t\x0B\f\x{{0085}}]')
+ OR regexp_matches({c}, '[\x{{FF01}}-\x{{FFEF}}\x{{FB00}}-\x{{FB06}}\x{{00B5}}\x{{03D0}}-\x{{03D6}}\x{{03F0}}-\x{{03F2}}\x{{03F4}}\x{{03F5}}\x{{03F9}}\x{{2100}}-\x{{214F}}\x{{2460}}-\x{{24FF}}\x{{017F}}]')
+ OR regexp_matches({c}, '[ɣıɑɩ]')
+ OR regexp_matches({c}, '[{_LATIN}][{_GREEK}{_CYRILLIC}]|[{_GREEK}][{_LATIN}{_CYRILLIC}]|[{_CYRILLIC}][{_LATIN}{_GREEK}]')
+ OR (regexp_matches({c}, '[{_LATIN}{_GREEK}]') AND regexp_matches({c}, '[{_CYRILLIC}]')
+     AND NOT regexp_matches({c}, '[б-джзйлфчш-яБ-ДЖЗИЙЛФЧШ-Я]')))"""
+
+
 SQL = {
+    "p4_found": f"""
+SELECT 'text_lines' AS table_name, CAST(id AS VARCHAR) AS record_key FROM text_lines WHERE {_odd('line_text')}
+UNION SELECT 'dictionary_entries', CAST(id AS VARCHAR) FROM dictionary_entries WHERE {_odd('headword')}
+UNION SELECT 'lemma_map', coalesce(word_form, '') || '|' || coalesce(lemma, '') FROM lemma_map WHERE {_odd('word_form')}""",
+    # translations are English: every mark ends a sentence but those of decimals and of two abbreviations
+    "p2_sentences": r"""
+WITH t AS (SELECT id, regexp_extract_all(translation_text,
+  '(?:i\.e\.|e\.g\.|[.][0-9]|[^.!?])+(?:[.!?]+\s*|$)') AS a FROM translation_segments WHERE translation_text IS NOT NULL),
+u AS (SELECT id, generate_subscripts(a, 1) AS n, unnest(a) AS s FROM t),
+v AS (SELECT id, n, regexp_replace(s, '\s+$', '') AS sentence, length(s) AS l,
+  sum(length(s)) OVER (PARTITION BY id ORDER BY n ROWS UNBOUNDED PRECEDING) AS z FROM u)
+SELECT id, CAST(n AS INTEGER) AS sent_no, CAST(z - l AS INTEGER) AS sent_start,
+  CAST(z - l + length(sentence) AS INTEGER) AS sent_end, sentence FROM v""",
     "p5_term_counts": _COUNTS + "SELECT * FROM c",
     "p5_found": _COUNTS + """
 SELECT term, 'rare' AS mark FROM c WHERE records < 3
